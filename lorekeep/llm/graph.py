@@ -1,0 +1,45 @@
+"""Connected components of a link table, by alternating large-star and small-star rounds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lorekeep.llm.common import materialize
+
+
+def _digest(edges: DataFrame) -> tuple:
+    row = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
+    return tuple(row)
+
+
+def connected_components(edges: DataFrame, name: str = "links", max_rounds: int = 60) -> DataFrame:
+    """(node, component): for each node of edges(a, b) the smallest node that it can reach.
+
+    Each round is a few shuffles of the link table only and is written to the shared folder, so lineage stays short;
+    the number of rounds grows with the logarithm of the longest chain. Null ends and loops are dropped; an empty
+    table gives an empty result. A chain that hasn't closed in max_rounds raises.
+    """
+    links = materialize(
+        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name
+    )
+    before = _digest(links)
+    if not before[0]:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    for _ in range(max_rounds):
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # every link now points down; the small star hangs each node's lower neighbours on the lowest
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(
+            F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
+        )
+        links = materialize(small.select("e.a", "e.b").where("a <> b").distinct(), name)
+        after = _digest(links)
+        if after == before:
+            return links.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node").unionByName(
+                links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+            )
+        before = after
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
