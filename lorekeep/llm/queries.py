@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from lorekeep.llm.mixing import op7_mixing
+from lorekeep.llm.neighbors import op8_neighbors
+from lorekeep.llm.packing import op1_packing
 from lorekeep.llm.simhash import op10_simhash
+from lorekeep.llm.tokens import op4_token_ids
 
 
 def queries() -> dict:
     return {
+        "op1_packing": op1_packing,
+        "op4_token_ids": op4_token_ids,
         "op7_mixing": op7_mixing,
+        "op8_neighbors": op8_neighbors,
         "op10_simhash": op10_simhash,
     }
 
