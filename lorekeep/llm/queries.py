@@ -5,6 +5,7 @@ from __future__ import annotations
 from lorekeep.llm.mixing import op7_mixing
 from lorekeep.llm.neighbors import op8_neighbors
 from lorekeep.llm.packing import op1_packing
+from lorekeep.llm.pii import op9_pii
 from lorekeep.llm.simhash import op10_simhash
 from lorekeep.llm.tokens import op4_token_ids
 
@@ -15,6 +16,7 @@ def queries() -> dict:
         "op4_token_ids": op4_token_ids,
         "op7_mixing": op7_mixing,
         "op8_neighbors": op8_neighbors,
+        "op9_pii": op9_pii,
         "op10_simhash": op10_simhash,
     }
 
