@@ -8,12 +8,14 @@ from lorekeep.llm.packing import op1_packing
 from lorekeep.llm.pii import op9_pii
 from lorekeep.llm.simhash import op10_simhash
 from lorekeep.llm.tokens import op4_token_ids
+from lorekeep.llm.warc import op6_warc
 
 
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
         "op4_token_ids": op4_token_ids,
+        "op6_warc": op6_warc,
         "op7_mixing": op7_mixing,
         "op8_neighbors": op8_neighbors,
         "op9_pii": op9_pii,
