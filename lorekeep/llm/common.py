@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is hinted for broadcast only if it was counted and has at most this many rows.
-BROADCAST_ROWS = 50_000
+BROADCAST_ROWS = 200_000
 
 #: White space as all word rules here define it: space, and the controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"

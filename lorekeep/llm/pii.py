@@ -73,13 +73,13 @@ def _cut(text: Column, kind: str, pattern: str, guard: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, found): every row with all matches of all detectors, in one pass over the texts."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    """(rid, doc_id, text_hash, found): every row with all matches of all detectors, in one pass over the texts."""
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     text = F.col("text")
     some = text.rlike("[0-9@]")
     guards = {"email": some & F.contains(text, F.lit("@")), "ip": some & F.contains(text, F.lit(".")), "card": some, "phone": some & F.contains(text, F.lit("+")), "token": some}
     found = F.concat(*[_cut(text, k, p, guards[k]) for k, p in {**BASE, "token": TOKEN}.items()])
-    return materialize(rows.select("rid", "doc_id", found.alias("found")), "pii-matches")
+    return materialize(rows.select("rid", "doc_id", "text_hash", found.alias("found")), "pii-matches")
 
 
 def positions(found: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def bootstrap(tokens: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, c
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id and spans, an array of (kind number, s, e, added) by kind and start, of every row.
+    """doc_id, spans (an array of kind number, s, e, added, by kind and start) and text_hash (xxhash64) of every row.
 
     Null text is empty. Repeated rows give a row each, null doc_ids stay null, documents without personal data have an
     empty array, an empty table gives an empty result, and columns other than doc_id and text are not read.
@@ -150,7 +150,7 @@ def find(docs: DataFrame) -> DataFrame:
     number = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
     listed = spans.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct(number.alias("kind"), "s", "e", "added"))).alias("spans"))
     none = F.array().cast("array<struct<kind:int,s:bigint,e:bigint,added:boolean>>")
-    return found.select("rid", "doc_id").join(listed, "rid", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
+    return found.select("rid", "doc_id", "text_hash").join(listed, "rid", "left").select("doc_id", F.coalesce("spans", none).alias("spans"), "text_hash")
 
 
 def _joined(spans: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from lorekeep.llm.html import op5_html
 from lorekeep.llm.mixing import op7_mixing
 from lorekeep.llm.neighbors import op8_neighbors
 from lorekeep.llm.packing import op1_packing
+from lorekeep.llm.perplexity import op3_quality_rules
 from lorekeep.llm.pii import op9_pii
+from lorekeep.llm.quality import op2_quality_classifier
 from lorekeep.llm.simhash import op10_simhash
 from lorekeep.llm.tokens import op4_token_ids
 from lorekeep.llm.warc import op6_warc
@@ -14,7 +17,10 @@ from lorekeep.llm.warc import op6_warc
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
+        "op2_quality_classifier": op2_quality_classifier,
+        "op3_quality_rules": op3_quality_rules,
         "op4_token_ids": op4_token_ids,
+        "op5_html": op5_html,
         "op6_warc": op6_warc,
         "op7_mixing": op7_mixing,
         "op8_neighbors": op8_neighbors,
