@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from lorekeep.llm.common import BROADCAST_ROWS, materialize, read, small, word_count
 
 GOLDEN = 0.6180339887498949
-#: Words of a block, rows of a chunk, and cells in which points look up their source.
-BLOCK_WORDS, CHUNK, CELLS = 512, 16_384, 1_024
+#: Words of a block, slots of a chunk, rows for each bucket of a stream, and cells in which points look up their source.
+BLOCK_WORDS, CHUNK, BUCKET, CELLS = 512, 16_384, 1_024, 1_024
 
 
 def source_targets(sizes: DataFrame, max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -81,7 +81,7 @@ def stream_positions(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     side = targets.withColumnRenamed("source", "their_source")
     side = F.broadcast(side) if targets.count() <= BROADCAST_ROWS else side
     rows = rows.join(side, F.col("source").eqNullSafe(F.col("their_source"))).drop("their_source", "source")
-    order = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size")
+    order = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size", "text_hash")
     rows = rows.withColumn("rid", F.row_number().over(order))
     rows = rows.withColumn("at", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
     sums = sizes.join(side, sizes["source"].eqNullSafe(F.col("their_source"))).groupBy("sid", F.expr(f"pmod(h, {buckets})").alias("bucket")).agg(F.sum("size").alias("n"))
@@ -93,11 +93,11 @@ def stream_positions(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), block_words: int = BLOCK_WORDS, seed: int = 7) -> DataFrame:
     """The mix as spans: one row for each piece of a document in a slot, and one with null slot for each document.
 
-    Columns: doc_id, source, size, source_size, target, sid, bucket, rid (the row's key), slot, start (word of the
-    document), n (words; 0 in the row with null slot). Null text has size 0 and is taken 0 times; null sources are one
+    Columns: doc_id, text_hash (xxhash64 of the text), size, source_size, target, sid, bucket, rid (the row's key), turn
+    (place in the repeated stream), slot, start (word of the document), n (words; 0 in the row with null slot). Null text has size 0 and is taken 0 times; null sources are one
     source; repeated rows are kept apart; an empty table gives an empty result. Only doc_id, text and source are read.
     """
-    sizes = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"))
+    sizes = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
     sizes = materialize(sizes.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")), "mix-sizes")
     targets = materialize(source_targets(sizes, max_epochs, weights), "mix-targets")
     slots = schedule(targets, block_words)
@@ -107,12 +107,12 @@ def mix(docs: DataFrame, max_epochs: int = 3, weights: tuple[int, ...] = (1, 2,
         f" filter(transform(sequence(0L, {max_epochs - 1}L), e -> struct(e * source_size + at AS lo,"
         " least(e * source_size + at + size, words) AS hi, e * source_size + at AS first)), t -> t.hi > t.lo))"
     )
-    rows = rows.select("doc_id", "size", "source_size", "target", "sid", "bucket", "rid", F.explode(turns).alias("t"))
+    rows = rows.select("doc_id", "text_hash", "size", "source_size", "target", "sid", "bucket", "rid", F.explode(turns).alias("t"))
     blocks = F.expr(f"if(t.lo IS NULL, array(-1L), sequence(t.lo div {block_words}, (t.hi - 1) div {block_words}))")
     rows = rows.select("*", F.explode(blocks).alias("block")).withColumn("lo", F.when(F.col("block") >= 0, F.greatest("t.lo", F.col("block") * block_words)))
     rows = rows.withColumn("n", F.when(F.col("block") >= 0, F.least("t.hi", (F.col("block") + 1) * block_words) - F.col("lo")).otherwise(0))
     spans = rows.join(slots, ["sid", "block"], "left").where("block < 0 OR slot IS NOT NULL")
-    return spans.select("doc_id", "size", "source_size", "target", "sid", "bucket", "rid", "slot", (F.col("lo") - F.col("t.first")).alias("start"), "n")
+    return spans.select("doc_id", "text_hash", "size", "source_size", "target", "sid", "bucket", "rid", F.col("t.first").alias("turn"), "slot", (F.col("lo") - F.col("t.first")).alias("start"), "n")
 
 
 def mix_totals(docs: DataFrame, **options) -> DataFrame:
