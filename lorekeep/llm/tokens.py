@@ -19,6 +19,8 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,12 @@ from lorekeep.llm.common import materialize, new_path, read
 
 PIECES = 1_000_000  # remembered pieces of a worker process
 LONGEST = 48  # characters of a piece that is remembered
+TOGETHER = 200_000  # characters encoded together
 _ODD_SPACE = re.compile(r"\s (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
+_HEAD = "\uffff"  # opens the key of a piece without a space before it
+_L = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+_PLAIN = re.compile(rf"({_HEAD}?{_L})([,.]?)(?:(\n)({_L})([,.]?))?")
 
 
 class Encoder:
@@ -43,54 +49,78 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         top = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if top <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in found]
-
-    def _cut(self, text: str) -> list[str]:
-        parts = text.split(" ") if not _ODD_SPACE.search(text) else _CUT.split(text)
-        return [parts[0], *map(" ".__add__, parts[1:])]
+        """ids of pieces, none with an added token: joined by one, which cuts them apart whatever they hold."""
+        if not self.added:
+            return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        mark, number = next(iter(self.added.items()))
+        found = np.array(self.tokenizer.encode_batch_fast([mark.join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
+        raw, cut, n = found.tobytes(), np.flatnonzero(found == number), self.dtype.itemsize
+        starts, ends = np.concatenate(([0], (cut + 1) * n)), np.concatenate((cut * n, [len(raw)]))
+        return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
     def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """ids of pieces not known so far. A word and one comma or full stop are two pre-tokens."""
-        known, found = self.known, {}
-        split = {p for p in new if p[-1] in ",." and len(p) > 2 and p[1:-1].isalpha() and max(p) < "ɐ"}
-        whole = (new - split) | {q for p in split for q in (p[:-1], p[-1]) if q not in known}
-        todo = list(whole)
+        """ids of pieces not known so far. Words, a comma or full stop after one, and a line feed between are pre-tokens each."""
+        known, found, whole, split = self.known, {}, set(), []
+        for p in new:
+            m = _PLAIN.fullmatch(p)
+            if m and (m[2] or m[3]):
+                parts = [m[1]] + [_HEAD + x for x in m.groups()[1:] if x]
+                split.append((p, parts))
+                whole.update(parts)
+            else:
+                whole.add(p)
+        todo = [p for p in whole if p not in known]
         for i in range(0, len(todo), 4096):
             part = todo[i : i + 4096]
-            found.update(zip(part, self._encode(part), strict=True))
-        for p in split:
-            a, b = p[:-1], p[-1]
-            found[p] = (known.get(a) or found[a]) + (known.get(b) or found[b])
+            found.update(zip(part, self._encode([p[1:] if p[:1] == _HEAD else " " + p for p in part]), strict=True))
+        for p, parts in split:
+            found[p] = b"".join([known.get(x) or found[x] for x in parts])
         if len(known) < PIECES:
-            known.update((p, v) for p, v in found.items() if len(p) <= LONGEST)
+            known.update(found if max(map(len, found), default=0) <= LONGEST else {p: v for p, v in found.items() if len(p) <= LONGEST})
         return found
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        get, cut, new = self.known.get, [], set()
+        out, part, size = [], [], 0
+        for t in texts:  # a few texts at a time: their pieces stay in the processor's cache
+            part.append(t)
+            size += len(t or "")
+            if size > TOGETHER:
+                out += self._ids(part)
+                part, size = [], 0
+        return out + self._ids(part)
+
+    def _ids(self, texts: list[str | None]) -> list[bytes]:
+        get, out, open_, new = self.known.get, [], [], set()
         for t in texts:
             if not t:
-                cut.append(b"")
-            elif any(a in t for a in self.added):
-                cut.append(self._encode([t])[0])
+                out.append(b"")
+            elif _HEAD in t or any(a in t for a in self.added):
+                out.append(np.array(self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, self.dtype).tobytes())
             else:
-                pieces = self._cut(t)
-                if not pieces[0]:
-                    pieces = pieces[1:]
+                pieces = _CUT.split(t) if _ODD_SPACE.search(t) else t.split(" ")
+                if pieces[0]:
+                    pieces[0] = _HEAD + pieces[0]
+                else:
+                    del pieces[0]
                 found = list(map(get, pieces))
                 if None in found:
-                    new.update(p for p, v in zip(pieces, found, strict=True) if v is None)
-                    cut.append((pieces, found))
+                    new.update(compress(pieces, map(is_, found, repeat(None))))
+                    open_.append((len(out), pieces))
+                    out.append(b"")
                 else:
-                    cut.append(b"".join(found))
-        late = self._learn(new) if new else {}
-        return [x if isinstance(x, bytes) else b"".join([late[p] if v is None else v for p, v in zip(*x, strict=True)]) for x in cut]
+                    out.append(b"".join(found))
+        if open_:
+            late = self._learn(new)
+            for i, pieces in open_:
+                found = list(map(get, pieces))
+                out[i] = b"".join(found if None not in found else [late[p] if v is None else v for p, v in zip(pieces, found, strict=True)])
+        return out
 
 
 @functools.lru_cache(maxsize=2)
