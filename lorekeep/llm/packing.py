@@ -27,6 +27,8 @@ from lorekeep.llm.tokens import default_tokenizer, encoder
 #: Costs in ids of padding: a cut at a sentence, a cut inside one, and each window.
 SENTENCE, INSIDE, WINDOW_COST = 4, 16, 2
 BLOCK_IDS = 1 << 18
+#: At most one sentence end in this many ids is a candidate; ends of documents all are.
+CELL = 16
 
 
 @functools.lru_cache(maxsize=2)
@@ -83,7 +85,9 @@ def _candidates(docs: list[tuple], ends: np.ndarray, window: int) -> tuple[np.nd
     ids = np.concatenate([d[3] for d in docs])
     kind = np.where(ends[ids], 1, 0).astype(np.int8)
     kind[np.cumsum([len(d[3]) for d in docs]) - 1] = 2
-    at = np.concatenate(([0], np.flatnonzero(kind) + 1))
+    at = np.flatnonzero(kind) + 1
+    near = at[:-1] // CELL == at[1:] // CELL  # of sentences that end close together the last is enough
+    at = np.concatenate(([0], at[np.concatenate((~near | (kind[at[:-1] - 1] == 2), [True]))]))
     cost = np.concatenate(([0.0], np.where(kind[at[1:] - 1] == 2, 0.0, float(SENTENCE))))
     step = max(1, window // 16)
     wide = np.flatnonzero(np.diff(at) > step)
