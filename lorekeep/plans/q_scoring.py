@@ -9,7 +9,9 @@ from lorekeep.functions import text as tx
 from lorekeep.operators import aggregates as ag
 from lorekeep.operators import alignment as al
 from lorekeep.operators import intervals as iv
-from lorekeep.plans.views import WORDS, table, turns, turns_sql, words
+from lorekeep.operators import segmentation as sg
+from lorekeep.plans.views import WORDS, speaker_turns, table, turns, turns_sql, words
+from lorekeep.sources import io
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -183,3 +185,139 @@ def j14_verdict(spark, sf_dir):
     i = F.col("doc_id")
     wer = F.when(i % 11 > 0, (i % 40) / 100.0)
     return table(spark, sf_dir, "documents").select("doc_id", ag.verdict(wer, (i % 30) / 100.0, F.col("n_chars")).alias("verdict"))
+
+
+@query("d5_text_chunks")
+def d5_text_chunks(spark, sf_dir):
+    return sg.text_chunks(words(spark, sf_dir), most_words=40)
+
+
+@query("e9_exemplars")
+def e9_exemplars(spark, sf_dir):
+    """Ten excerpts a speaker at most: the operator's own limit."""
+    return sg.exemplars(turns(spark, sf_dir), 600_000)
+
+
+def _exclusive(t):
+    w = Window.partitionBy("episode").orderBy("start_ms", "event_id")
+    return t.withColumn("next", F.lead("start_ms").over(w)).withColumn("end_ms", F.least("end_ms", F.coalesce("next", "end_ms"))).where("start_ms < end_ms")
+
+
+@query("l1_native_candidates")
+def l1_native_candidates(spark, sf_dir):
+    t = turns(spark, sf_dir)
+    return sg.native_candidates(t, _exclusive(t), ["episode"], 600_000)
+
+
+@query("l5_native_segments")
+def l5_native_segments(spark, sf_dir):
+    t = turns(spark, sf_dir)
+    return sg.native_segments(t, _exclusive(t), ["episode"], 600_000)
+
+
+@query("j5_cpwer")
+def j5_cpwer(spark, sf_dir):
+    """Per pair of consecutive turns: streams by role against the same words dealt out by halves."""
+    schema = "conv_id long, turn long, errors long, total long, value double"
+
+    def score(batches):
+        import pandas as pd
+
+        for g in batches:
+            rows = []
+            for r in g.itertuples(index=False):
+                ref, hyp = list(r.ref), list(r.hyp)
+                got = al.cpwer({"a": ref, "b": hyp}, {"x": hyp[: len(hyp) // 2], "y": ref + hyp[len(hyp) // 2 :]})
+                rows.append((r.conv_id, r.turn, got["errors"], got["total"], got["value"]))
+            yield pd.DataFrame(rows, columns=["conv_id", "turn", "errors", "total", "value"])
+
+    return _pairs(spark, sf_dir).mapInPandas(score, schema)
+
+
+@query("j6_speaker_map")
+def j6_speaker_map(spark, sf_dir):
+    """Per episode the one-to-one map of greatest common time between two sides of the turns."""
+    import pandas as pd
+
+    ref, hyp = _two_sides(spark, sf_dir)
+    e = al.duration_events(ref, hyp, ["episode"], "label", 600_000)
+    w = e.select("episode", "ms", F.explode("ref").alias("r"), "hyp").select("episode", "ms", "r", F.explode("hyp").alias("h")).groupBy("episode", "r", "h").agg(F.sum("ms").alias("ms"))
+
+    def choose(key: tuple, g: pd.DataFrame) -> pd.DataFrame:  # one row for each pair of labels of an episode
+        found = al.speaker_map({(h, r): int(ms) for h, r, ms in g[["h", "r", "ms"]].itertuples(index=False)})
+        return pd.DataFrame([(key[0], h, r) for h, r in found.items()], columns=["episode", "hyp_label", "ref_label"])
+
+    return w.groupBy("episode").applyInPandas(choose, "episode string, hyp_label string, ref_label string")
+
+
+@query("j12_timing_errors")
+def j12_timing_errors(spark, sf_dir):
+    """Median and 95th percentile of start errors of equal words, each conversation turn against the next."""
+    w = words(spark, sf_dir).groupBy("episode", "turn").agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "text"))).alias("w"))
+    nxt = w.select("episode", (F.col("turn") - 1).alias("turn"), F.col("w").alias("v"))
+
+    def score(batches):
+        import pandas as pd
+
+        for g in batches:
+            rows = []
+            for r in g.itertuples(index=False):
+                a, b = ([{"text": x["text"], "start_ms": x["start_ms"] - y[0]["start_ms"], "end_ms": x["end_ms"] - y[0]["start_ms"]} for x in y] for y in (list(r.w), list(r.v)))
+                rows += [(r.episode, s, e) for s, e in al.timing_errors(a, b)]
+            yield pd.DataFrame(rows, columns=["episode", "s", "e"])
+
+    found = w.join(nxt, ["episode", "turn"]).select("episode", "w", "v").mapInPandas(score, "episode long, s long, e long")
+    return found.groupBy("episode").agg(F.count("*").alias("n"), F.percentile("s", 0.5).alias("median_start"), F.percentile("s", 0.95).alias("p95_start"))
+
+
+_CUE = "lpad(CAST({0} // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST({0} // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({0} // 1000 % 60 AS VARCHAR), 2, '0') || ',' || lpad(CAST({0} % 1000 AS VARCHAR), 3, '0')"
+
+
+@query(
+    "b8_export_srt",
+    f"""WITH {WORDS}, n AS (SELECT *, row_number() OVER (PARTITION BY episode ORDER BY start_ms, end_ms, word_id) AS n FROM timed)
+SELECT episode, n, CAST(n AS VARCHAR) || chr(10) || {_CUE.format("start_ms")} || ' --> ' || {_CUE.format("end_ms")} || chr(10) || '[' || speaker || '] ' || text || chr(10) AS line FROM n""",
+)
+def b8_export_srt(spark, sf_dir):
+    return io.export_lines(words(spark, sf_dir).withColumn("overlap", F.lit(False)), "srt")
+
+
+@query(
+    "b9_export_rttm",
+    f"""WITH {turns_sql()}, n AS (SELECT *, row_number() OVER (PARTITION BY episode ORDER BY start_ms, end_ms, speaker) AS n FROM turns)
+SELECT episode, n, 'SPEAKER ' || episode || ' 1 ' || CAST(start_ms // 1000 AS VARCHAR) || '.' || lpad(CAST(start_ms % 1000 AS VARCHAR), 3, '0') || ' ' || CAST((end_ms - start_ms) // 1000 AS VARCHAR) || '.' || lpad(CAST((end_ms - start_ms) % 1000 AS VARCHAR), 3, '0')
+  || ' <NA> <NA> ' || CAST(speaker AS VARCHAR) || ' <NA> <NA>' AS line FROM n""",
+)
+def b9_export_rttm(spark, sf_dir):
+    return io.export_rttm(turns(spark, sf_dir))
+
+
+@query(
+    "c11_validate_rows",
+    f"""WITH {turns_sql()} SELECT event_id, array_to_string(list_filter([CASE WHEN end_ms <= start_ms THEN 'empty' END, CASE WHEN end_ms > 86400000 THEN 'beyond' END, CASE WHEN start_ms < 0 THEN 'negative' END], lambda x: x IS NOT NULL), ',') AS faults
+FROM turns WHERE end_ms <= start_ms OR end_ms > 86400000 OR start_ms < 0""",
+)
+def c11_validate_rows(spark, sf_dir):
+    checks = {"empty": "end_ms <= start_ms", "beyond": "end_ms > 86400000", "negative": "start_ms < 0"}
+    faults = F.array_join(F.array_compact(F.array(*[F.when(F.expr(c), n) for n, c in checks.items()])), ",")
+    return turns(spark, sf_dir).select("event_id", faults.alias("faults")).where("faults <> ''")
+
+
+@query(
+    "c6_mask_words",
+    f"WITH {WORDS} SELECT episode, word_id FROM timed w WHERE text NOT LIKE '%a' AND NOT EXISTS (SELECT 1 FROM sturns s WHERE s.episode = w.episode AND s.speaker = 'system' AND s.start_ms < w.end_ms AND s.end_ms > w.start_ms)",
+)
+def c6_mask_words(spark, sf_dir):
+    w = words(spark, sf_dir)
+    masks = speaker_turns(w).where("speaker = 'system'").select("episode", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"))
+    hit = iv.range_join(w.select("episode", "word_id", "start_ms", "end_ms"), masks, ["episode"], 10_000).select("episode", "word_id").distinct()
+    return w.where("text NOT LIKE '%a'").select("episode", "word_id").join(hit, ["episode", "word_id"], "left_anti")
+
+
+@query(
+    "c14_label_keywords",
+    "SELECT doc_id, contains(lower(text), 'scum') OR contains(lower(text), 'trash') OR contains(lower(text), 'license') AS hit FROM documents",
+)
+def c14_label_keywords(spark, sf_dir):
+    words_ = F.array(F.lit("scum"), F.lit("trash"), F.lit("license"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.exists(words_, lambda k: F.contains(F.lower("text"), k)).alias("hit"))
