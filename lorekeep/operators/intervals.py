@@ -36,26 +36,23 @@ def clip(rows: DataFrame, low: Column, high: Column) -> DataFrame:
     return rows.withColumn("start_ms", F.greatest("start_ms", low)).withColumn("end_ms", F.least("end_ms", high)).where("start_ms < end_ms")
 
 
-def range_join(left: DataFrame, right: DataFrame, by: Sequence[str], bucket_ms: int, how: str = "inner") -> DataFrame:
+def range_join(left: DataFrame, right: DataFrame, by: Sequence[str], bucket_ms: int) -> DataFrame:
     """Overlapping pairs of left(start_ms, end_ms) and right(r_start, r_end) with equal `by`; right's `by` is dropped.
 
-    how is inner, left or left_semi. A pair that shares several buckets is kept in the one of its common start.
+    A pair that shares several buckets is kept in the one of its common start.
     """
-    def filed(df: DataFrame, s: str, e: str) -> DataFrame:
+
+    def filed(df: DataFrame, s: str, e: str, bucket: str) -> DataFrame:
         first, last = F.expr(f"floor({s} / {bucket_ms})"), F.expr(f"floor(({e} - 1) / {bucket_ms})")
-        return df.withColumn("_bucket", F.explode(F.sequence(first, F.greatest(first, last))))
+        return df.withColumn(bucket, F.explode(F.sequence(first, F.greatest(first, last))))
 
-    r = filed(right, "r_start", "r_end")
+    r = filed(right, "r_start", "r_end", "_bucket")
     for c in by:
         r = r.withColumnRenamed(c, f"_r_{c}")
     keys = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in by]
-    if how in ("left", "left_semi"):
-        left = left.withColumn("_row", F.monotonically_increasing_id())
     one = F.floor(F.greatest("start_ms", "r_start") / bucket_ms) == F.col("_bucket")
-    pairs = filed(left, "start_ms", "end_ms").withColumnRenamed("_bucket", "_left_bucket").join(
-        r, [F.col("_left_bucket") == F.col("_bucket"), *keys, F.col("start_ms") < F.col("r_end"), F.col("end_ms") > F.col("r_start"), one]
-    ).drop("_left_bucket", "_bucket", *(f"_r_{c}" for c in by))
-    return pairs if how == "inner" else pairs.drop("_row")
+    same = [F.col("_left_bucket") == F.col("_bucket"), *keys, F.col("start_ms") < F.col("r_end"), F.col("end_ms") > F.col("r_start"), one]
+    return filed(left, "start_ms", "end_ms", "_left_bucket").join(r, same).drop("_left_bucket", "_bucket", *(f"_r_{c}" for c in by))
 
 
 def islands(rows: DataFrame, by: Sequence[str], new: Column, order: Sequence) -> DataFrame:
