@@ -321,3 +321,27 @@ def c6_mask_words(spark, sf_dir):
 def c14_label_keywords(spark, sf_dir):
     words_ = F.array(F.lit("scum"), F.lit("trash"), F.lit("license"))
     return table(spark, sf_dir, "documents").select("doc_id", F.exists(words_, lambda k: F.contains(F.lower("text"), k)).alias("hit"))
+
+
+@query("j15_evaluate_documents")
+def j15_evaluate_documents(spark, sf_dir):
+    """Conversations against themselves with every seventh word lost and the roles renamed."""
+    from lorekeep.operators import scoring
+
+    w = words(spark, sf_dir).withColumnRenamed("episode", "source")
+    t = speaker_turns(words(spark, sf_dir)).withColumnRenamed("episode", "source")
+    other = F.when(F.col("speaker") == "user", "s1").when(F.col("speaker") == "assistant", "s2").otherwise("s3")
+    counts = w.groupBy("source").agg(F.count("*").alias("timings"))
+    return scoring.evaluate(w, w.where("word_id % 7 <> 3").withColumn("speaker", other), t, t.withColumn("speaker", other), counts, 60_000)
+
+
+@query(
+    "j13_slice_catalog",
+    """SELECT doc_id AS source, x.slice, x.s AS start_ms, x.e AS end_ms FROM (SELECT doc_id, unnest([{'slice': 'all', 's': 0, 'e': n_chars}, {'slice': 'block-0', 's': 0, 'e': n_chars // 5}, {'slice': 'block-1', 's': n_chars // 5, 'e': n_chars * 2 // 5},
+  {'slice': 'block-2', 's': n_chars * 2 // 5, 'e': n_chars * 3 // 5}, {'slice': 'block-3', 's': n_chars * 3 // 5, 'e': n_chars * 4 // 5}, {'slice': 'block-4', 's': n_chars * 4 // 5, 'e': n_chars},
+  {'slice': 'development', 's': 0, 'e': n_chars * 4 // 5}, {'slice': 'held_out', 's': n_chars * 4 // 5, 'e': n_chars}]) AS x FROM documents)""",
+)
+def j13_slice_catalog(spark, sf_dir):
+    from lorekeep.operators import scoring
+
+    return scoring.slice_catalog(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source"), F.col("n_chars").alias("duration_ms")))
