@@ -1,6 +1,7 @@
 """Every registered query with SQL gives the rows that DuckDB gives, on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from lorekeep.plans import catalog
@@ -17,7 +18,7 @@ def duck(sf):
 
 
 def shown(value):
-    if value is None or value != value:
+    if value is None or value is pd.NA or value != value:
         return "null"
     return f"{value:.6g}" if isinstance(value, float) else str(value)
 
