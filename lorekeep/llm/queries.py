@@ -29,5 +29,22 @@ def queries() -> dict:
     }
 
 
+#: Five hexadecimal digits are twenty bits, four characters of base 32.
+_BASE32 = """array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  CAST((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER) + 1, 1)), '')"""
+
+_WARC = f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, n AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to FROM f"""
+
+_LINKS = """WITH RECURSIVE u AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+v AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM u),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.93),
+r(node, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.node),
+k AS (SELECT node, min(c) AS c FROM r GROUP BY 1), d AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT node AS vec_id, coalesce(n, 0) AS n_links, c AS component_id, node = c AS kept FROM k LEFT JOIN d ON a = node"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_warc": _WARC, "op8_neighbors": _LINKS}
