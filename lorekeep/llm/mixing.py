@@ -76,7 +76,7 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 def stream_positions(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """sizes with sid, source_size, target, words, a row key (sid, bucket, rid) and its first word's place in the source's stream."""
     n = sizes.count()
-    buckets = max(1, n // CHUNK)
+    buckets = max(1, n // BUCKET)
     rows = sizes.withColumn("bucket", F.expr(f"pmod(h, {buckets})"))
     side = targets.withColumnRenamed("source", "their_source")
     side = F.broadcast(side) if targets.count() <= BROADCAST_ROWS else side
