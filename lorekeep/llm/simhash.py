@@ -100,7 +100,9 @@ def simhash_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
     marks = materialize(fingerprints(docs, shingle), "simhash")
     classes = marks.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     known = materialize(classes, "simhash-classes")
-    found = connected_components(links(known.where("rep IS NOT NULL")), "simhash-links")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = known.where("rep IS NOT NULL").repartition(n, "fp")  # the classes are a few small files, but fan out
+    found = connected_components(links(spread), "simhash-links")
     named = known.join(found, known["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return marks.join(named, "fp").select("doc_id", "fp", "component_id")
 
