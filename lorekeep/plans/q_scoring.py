@@ -112,6 +112,14 @@ def j3_cer(spark, sf_dir):
     return b.select("item_id", F.levenshtein("a", "d").cast("long").alias("errors"), F.length("a").cast("long").alias("chars"))
 
 
+@query("j3_cer_turns")
+def j3_cer_turns(spark, sf_dir):
+    """Character errors of each turn against the next, by code points of whole normalized texts; no SQL: its levenshtein counts bytes."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", tx.normalize_udf("text").alias("ref"))
+    rows = c.withColumn("hyp", F.lead("ref").over(Window.partitionBy("conv_id").orderBy("turn", "role"))).where("hyp IS NOT NULL")
+    return rows.select("conv_id", "turn", F.levenshtein("ref", "hyp").cast("long").alias("errors"), F.length("ref").cast("long").alias("chars"))
+
+
 def _two_sides(spark, sf_dir):
     t = turns(spark, sf_dir).withColumn("label", F.col("speaker") % 6)
     return t.where("event_id % 2 = 0"), t.where("event_id % 2 = 1")
