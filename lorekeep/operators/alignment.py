@@ -5,6 +5,9 @@ The kernels are small functions over one row's tokens; Spark partitions the rows
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,44 +15,96 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 
-def align(ref: list[str], hyp: list[str]) -> list[tuple[str, int, int]]:
-    """(op, i, j) of a least-cost alignment; going back from the end, pairs come before deletions before insertions."""
-    n, m = len(ref), len(hyp)
-    ids: dict[str, int] = {}
-    r = np.array([ids.setdefault(x, len(ids)) for x in ref], np.int64)
-    h = np.array([ids.setdefault(x, len(ids)) for x in hyp], np.int64)
-    cost = np.empty((n + 1, m + 1), np.int32)
-    cost[0] = steps = np.arange(m + 1)
-    for i in range(1, n + 1):
-        row = np.minimum(cost[i - 1, 1:] + 1, cost[i - 1, :-1] + (h != r[i - 1]))
-        row = np.concatenate(([i], row))
-        cost[i] = np.minimum.accumulate(row - steps) + steps  # insertions: a running minimum
-    ops, i, j = [], n, m
+#: Cells of a block that is traced back directly (fixed value); a larger one is halved.
+BLOCK_CELLS = 4_096
+
+
+def _rows(ref: list[int], hyp: list[int]) -> Iterator[tuple[int, int]]:
+    """For each number of reference tokens, from none: the bits of hyp at which the edit distance rises, and falls.
+
+    Bit j - 1 of the first (second) is set if the distance to hyp[:j] is one more (less) than that to hyp[:j - 1]: a row
+    of the distance matrix in two whole numbers, whose bits are worked on together.
+    """
+    full = (1 << len(hyp)) - 1
+    at: dict[int, int] = {}
+    for j, x in enumerate(hyp):
+        at[x] = at.get(x, 0) | 1 << j
+    up, down = full, 0
+    yield up, down
+    for x in ref:
+        same = at.get(x, 0)
+        diagonal = ((((same & up) + up) ^ up) | same | down) & full
+        over = ((down | ~(diagonal | up)) << 1 | 1) & full
+        under = ((diagonal & up) << 1) & full
+        up = (under | ~(diagonal | over)) & full
+        down = over & diagonal
+        yield up, down
+
+
+def _last_row(ref: list[int], hyp: list[int]) -> np.ndarray:
+    """Edit distances of ref to every beginning of hyp."""
+    for up, down in _rows(ref, hyp):  # noqa: B007
+        pass
+    size = (len(hyp) + 7) // 8
+    rise, fall = (np.unpackbits(np.frombuffer(x.to_bytes(size, "little"), np.uint8), count=len(hyp), bitorder="little").astype(np.int64) for x in (up, down))
+    return len(ref) + np.concatenate(([0], np.cumsum(rise - fall)))
+
+
+def _trace(r: list[int], h: list[int], i0: int, j0: int) -> list[tuple[str, int, int]]:
+    """The operations of a block, back from its end: pairs come before deletions before insertions."""
+    rows = list(_rows(r, h))
+
+    def cost(i: int, j: int) -> int:
+        low = (1 << j) - 1
+        return i + (rows[i][0] & low).bit_count() - (rows[i][1] & low).bit_count()
+
+    ops, i, j = [], len(r), len(h)
+    here = cost(i, j)
     while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (r[i - 1] != h[j - 1]):
-            i, j = i - 1, j - 1
-            ops.append(("equal" if r[i] == h[j] else "substitute", i, j))
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
-            i -= 1
-            ops.append(("delete", i, j))
+        if i and j and here == (before := cost(i - 1, j - 1)) + (r[i - 1] != h[j - 1]):
+            i, j, here = i - 1, j - 1, before
+            ops.append(("equal" if r[i] == h[j] else "substitute", i0 + i, j0 + j))
+        elif i and here == (before := cost(i - 1, j)) + 1:
+            i, here = i - 1, before
+            ops.append(("delete", i0 + i, j0 + j))
         else:
-            j -= 1
-            ops.append(("insert", i, j))
+            j, here = j - 1, here - 1
+            ops.append(("insert", i0 + i, j0 + j))
     return ops[::-1]
 
 
-def edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
-    """Substitutions, deletions, insertions; equal ends are set aside first."""
-    a = 0
-    while a < min(len(ref), len(hyp)) and ref[a] == hyp[a]:
+def align(ref: list[str], hyp: list[str]) -> list[tuple[str, int, int]]:
+    """(op, i, j) of a least-cost alignment, in memory that grows with the length of the texts, not its square.
+
+    Equal ends are paired first. A block of over BLOCK_CELLS cells is halved: at the middle of its reference, where the
+    hypothesis is cut at the first place of least total distance on either side. Smaller blocks are traced back.
+    """
+    ids: dict[str, int] = {}
+    r, h = ([ids.setdefault(x, len(ids)) for x in side] for side in (ref, hyp))
+    least, a, z = min(len(r), len(h)), 0, 0
+    while a < least and r[a] == h[a]:
         a += 1
-    ref, hyp = ref[a:], hyp[a:]
-    while ref and hyp and ref[-1] == hyp[-1]:
-        ref, hyp = ref[:-1], hyp[:-1]
-    if not ref or not hyp:
-        return 0, len(ref), len(hyp)
-    ops = [o for o, _, _ in align(ref, hyp)]
-    return ops.count("substitute"), ops.count("delete"), ops.count("insert")
+    while z < least - a and r[-1 - z] == h[-1 - z]:
+        z += 1
+    ops = [("equal", i, i) for i in range(a)]
+    todo = [(a, len(r) - z, a, len(h) - z)]
+    while todo:
+        i0, i1, j0, j1 = todo.pop()
+        n, m = i1 - i0, j1 - j0
+        if n < 2 or m < 2 or n * m <= BLOCK_CELLS:
+            ops += _trace(r[i0:i1], h[j0:j1], i0, j0)
+            continue
+        half = i0 + n // 2
+        left, right = _last_row(r[i0:half], h[j0:j1]), _last_row(r[half:i1][::-1], h[j0:j1][::-1])
+        cut = j0 + int(np.argmin(left + right[::-1]))
+        todo += [(half, i1, cut, j1), (i0, half, j0, cut)]  # the left part is taken up first
+    return ops + [("equal", len(r) - z + k, len(h) - z + k) for k in range(z)]
+
+
+def edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
+    """Substitutions, deletions, insertions."""
+    ops = Counter(o for o, _, _ in align(ref, hyp))
+    return ops["substitute"], ops["delete"], ops["insert"]
 
 
 @F.pandas_udf(StructType([StructField(c, LongType()) for c in ("substitutions", "deletions", "insertions")]))
@@ -86,13 +141,20 @@ def orc_errors(streams: list[list[str]], hyp: list[str]) -> tuple[int, int, int,
     return best[tuple(n - 1 for n in shape)][len(hyp)]
 
 
+#: Rows up to which subsets of columns are listed.
+SUBSETS = 10
+
+
 def best_assignment(cost: np.ndarray) -> tuple[float, list[int]]:
     """Least total of a one-to-one assignment of rows to columns of a square matrix; of equals the first in order.
 
     Subsets of columns are solved from the last row up; the choice then goes down the rows, taking the lowest column
-    that keeps the least total.
+    that keeps the least total. Beyond SUBSETS rows the least total of what is left is found by augmenting paths instead.
     """
     n = len(cost)
+    if n > SUBSETS:
+        total = _solve(cost)
+        return total, _first_columns(cost, total)
     tail = {(1 << n) - 1: 0.0}
     layers = [tail]
     for row in range(n - 1, -1, -1):
@@ -115,6 +177,20 @@ def best_assignment(cost: np.ndarray) -> tuple[float, list[int]]:
     return layers[0][0], chosen
 
 
+def _first_columns(cost: np.ndarray, total: float) -> list[int]:
+    """The column of each row: the lowest that keeps the total."""
+    left, columns, chosen = cost, list(range(len(cost))), []
+    for _ in range(len(cost)):
+        for k in range(len(columns)):
+            rest = np.delete(left[1:], k, 1)
+            after = _solve(rest) if len(rest) else 0.0
+            if abs(left[0, k] + after - total) < 1e-9:
+                chosen.append(columns.pop(k))
+                left, total = rest, after
+                break
+    return chosen
+
+
 def cpwer(ref: dict[str, list[str]], hyp: dict[str, list[str]]) -> dict:
     """Concatenated minimum-permutation errors: channels are paired one to one, missing ones are empty."""
     r, h = sorted(ref), sorted(hyp)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.operators.graph import connected_components as components  # noqa: F401
+
 
 def latest(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key by order (which ends in a unique column); an aggregate, so copies of a key meet early."""
@@ -72,10 +73,11 @@ def running_exposure(rows: DataFrame, by: Sequence[str], order: Sequence[str], a
 
 
 def eligible(status: str = "status", attempts: str = "attempts", due: str = "due_ms", lease: str = "lease_ms", now: int = 0, most: int = 3) -> Column:
-    """Whether a job may be claimed now: attempts left, and queued, or a retry that is due, or a lease that ran out."""
-    return (F.col(attempts) < most) & (
-        (F.col(status) == "queued") | ((F.col(status) == "retry_wait") & (F.col(due) <= now)) | ((F.col(status) == "running") & (F.col(lease) < now))
-    )
+    """Whether a job may be claimed now: attempts left, and queued, or a retry that is due or has no time, or a lease that
+    ends now or has ended (a running job without a lease is never free)."""
+    retry = (F.col(status) == "retry_wait") & (F.col(due).isNull() | (F.col(due) <= now))
+    expired = (F.col(status) == "running") & F.coalesce(F.col(lease) <= now, F.lit(False))
+    return (F.col(attempts) < most) & ((F.col(status) == "queued") | retry | expired)
 
 
 def fold_jobs(events: DataFrame, most: int = 3, backoff_ms: tuple[int, ...] = (5_000, 30_000)) -> DataFrame:
@@ -108,33 +110,6 @@ def fold_jobs(events: DataFrame, most: int = 3, backoff_ms: tuple[int, ...] = (5
     return folded.select("job", F.col("s.status").alias("status"), F.col("s.attempts").cast("long").alias("attempts"), F.col("s.due").alias("due_ms"))
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(node, component) of an undirected edge list (a, b): the smallest node each node reaches.
-
-    Labels spread along edges and jump to their label's label; each round is written to the shared folder.
-    """
-    spark = edges.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/lorekeep-components"
-
-    def keep(df: DataFrame) -> DataFrame:
-        path = f"{base.rstrip('/')}/components-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = keep(both)
-    label = keep(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).withColumnRenamed("a", "node"))
-    for _ in range(max_rounds):
-        near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("c").alias("m"))
-        step = label.join(near, label["node"] == near["a"]).select("node", "c", F.least("c", "m").alias("new"))
-        jump = step.select(F.col("node").alias("via"), F.col("new").alias("far"))
-        new = keep(step.join(jump, step["new"] == jump["via"], "left").select("node", F.least("new", F.coalesce("far", "new")).alias("c"), F.col("c").alias("old")))
-        if not new.where("c <> old").limit(1).count():
-            return new.select("node", F.col("c").alias("component"))
-        label = new.select("node", "c")
-    raise RuntimeError("components did not settle")
-
-
 def contradictions(components_: DataFrame, different: DataFrame) -> DataFrame:
     """Edges of `different` whose ends are in one component."""
     l, r = (components_.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}")) for k in ("a", "b"))

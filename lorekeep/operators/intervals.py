@@ -118,15 +118,22 @@ def union_intersection(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFra
     return rows.withColumn("both_ms", F.col("a_ms") - F.col("only_ms")).drop("only_ms")
 
 
+def condition(speech: Column, overlap: Column, labels: Column, heavy: float = 0.5) -> Column:
+    """single_speaker, multi_speaker_no_overlap, partial_overlap or heavy_overlap; uncertain without speech or labels."""
+    some = F.coalesce((labels > 0) & (speech > 0), F.lit(False))
+    return (
+        F.when(~some, "uncertain").when((overlap == 0) & (labels == 1), "single_speaker").when(overlap == 0, "multi_speaker_no_overlap")
+        .when(overlap >= heavy * speech, "heavy_overlap").otherwise("partial_overlap")
+    )
+
+
 def speaker_condition(rows: DataFrame, by: Sequence[str], label: str, bucket_ms: int, heavy: float = 0.5) -> DataFrame:
-    """Speech and overlap milliseconds, most simultaneous labels, and the class of each group."""
+    """Speech and overlap milliseconds, their quotient, most simultaneous labels, their number, and the class of each group."""
     s = segments(rows, by, label, bucket_ms).withColumn("ms", F.col("end_ms") - F.col("start_ms")).withColumn("n", F.size("active"))
-    g = s.groupBy(*by).agg(
-        F.sum("ms").alias("speech_ms"), F.sum(F.when(F.col("n") > 1, F.col("ms")).otherwise(0)).alias("overlap_ms"), F.max("n").cast("long").alias("most"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("active")))).cast("long").alias("labels"),
-    )
-    kind = F.when(F.col("overlap_ms") > 0, F.when(F.col("overlap_ms") >= heavy * F.col("speech_ms"), "heavy_overlap").otherwise("partial_overlap")).when(F.col("labels") > 1, "multi_speaker").otherwise("single_speaker")
-    return g.withColumn("kind", kind)
+    g = s.groupBy(*by).agg(F.sum("ms").alias("speech_ms"), F.sum(F.when(F.col("n") > 1, F.col("ms")).otherwise(0)).alias("overlap_ms"), F.max("n").cast("long").alias("most"))
+    g = rows.groupBy(*by).agg(F.count_distinct(label).alias("labels")).join(g, list(by), "left").na.fill(0, ["speech_ms", "overlap_ms", "most"])
+    share = F.round(F.try_divide(F.col("overlap_ms").cast("double"), F.col("speech_ms").cast("double")), 6)
+    return g.withColumn("overlap_fraction", share).withColumn("kind", condition(F.col("speech_ms"), F.col("overlap_ms"), F.col("labels"), heavy))
 
 
 def tiles(rows: DataFrame, size_ms: int, context_ms: int = 0) -> DataFrame:

@@ -57,8 +57,10 @@ def word_scores(ref: DataFrame, hyp: DataFrame) -> DataFrame:
 
 
 def speaker_word_scores(ref: DataFrame, hyp: DataFrame, maps: DataFrame) -> DataFrame:
-    """(source, sa_errors, sa_wer, unassigned_rate): each speaker's words apart, after the map; unmapped ones in a bucket."""
-    m = maps.select("source", F.col("hyp_label").alias("speaker"), "ref_label")
+    """(source, sa_errors, sa_wer, unassigned_rate): each speaker's words apart, after the map; in a bucket of their own those
+    that are unmapped, or mapped to a reference speaker without words."""
+    speaking = ref.where("speaker IS NOT NULL").select("source", F.col("speaker").cast("string").alias("ref_label")).distinct()
+    m = maps.join(speaking, ["source", "ref_label"], "left_semi").select("source", F.col("hyp_label").alias("speaker"), "ref_label")
     named = hyp.withColumn("speaker", F.col("speaker").cast("string")).join(m, ["source", "speaker"], "left").withColumn("bucket", F.coalesce("ref_label", F.lit(UNASSIGNED)))
     r = token_lists(ref.withColumn("bucket", F.coalesce(F.col("speaker").cast("string"), F.lit(UNASSIGNED))), ["source", "bucket"]).withColumnRenamed("tokens", "r")
     h = token_lists(named, ["source", "bucket"]).withColumnRenamed("tokens", "h")
@@ -89,11 +91,13 @@ def cpwer_scores(ref: DataFrame, hyp: DataFrame) -> DataFrame:
 
 
 def evaluate(ref_words: DataFrame, hyp_words: DataFrame, ref_turns: DataFrame, hyp_turns: DataFrame, timings: DataFrame, bucket_ms: int) -> DataFrame:
-    """All scores of each source, with the verdict; timings(source, timings) counts manually timed words."""
+    """All scores of each source, with the verdict; timings(source, timings) counts manually timed words, and may have a
+    column gates, whether the reference's split, review and fingerprints hold (verdict)."""
     maps = speaker_maps(ref_turns, hyp_turns, bucket_ms)
     rows = word_scores(ref_words, hyp_words).join(diarization_scores(ref_turns, hyp_turns, maps, bucket_ms), "source", "left")
     rows = rows.join(speaker_word_scores(ref_words, hyp_words, maps), "source", "left").join(cpwer_scores(ref_words, hyp_words), "source", "left").join(timings, "source", "left")
-    return rows.withColumn("verdict", verdict(F.col("wer"), F.col("der"), F.coalesce("timings", F.lit(0))))
+    gates = [F.col("gates")] if "gates" in timings.columns else []
+    return rows.withColumn("verdict", verdict(F.col("wer"), F.col("der"), F.coalesce("timings", F.lit(0)), *gates)).drop("gates")
 
 
 def slice_catalog(rows: DataFrame, parts: int = 5) -> DataFrame:

@@ -116,7 +116,8 @@ def f7_union_intersection(spark, sf_dir):
     f"""WITH {turns_sql()}, {_segments_sql('turns')},
 k AS (SELECT episode, count(DISTINCT speaker) AS labels FROM turns GROUP BY 1),
 g AS (SELECT episode, CAST(sum(end_ms - start_ms) AS BIGINT) AS speech_ms, CAST(sum(CASE WHEN n > 1 THEN end_ms - start_ms ELSE 0 END) AS BIGINT) AS overlap_ms, CAST(max(n) AS BIGINT) AS most FROM segs GROUP BY 1)
-SELECT episode, speech_ms, overlap_ms, most, labels, CASE WHEN overlap_ms > 0 THEN CASE WHEN overlap_ms >= 0.5 * speech_ms THEN 'heavy_overlap' ELSE 'partial_overlap' END WHEN labels > 1 THEN 'multi_speaker' ELSE 'single_speaker' END AS kind
+SELECT episode, speech_ms, overlap_ms, most, labels, round(overlap_ms / CAST(speech_ms AS DOUBLE), 6) AS overlap_fraction,
+  CASE WHEN speech_ms = 0 THEN 'uncertain' WHEN overlap_ms = 0 THEN CASE WHEN labels = 1 THEN 'single_speaker' ELSE 'multi_speaker_no_overlap' END WHEN overlap_ms >= 0.5 * speech_ms THEN 'heavy_overlap' ELSE 'partial_overlap' END AS kind
 FROM g JOIN k USING (episode)""",
 )
 def f8_speaker_condition(spark, sf_dir):

@@ -195,8 +195,8 @@ def i7_class_means(spark, sf_dir):
 @query(
     "i8_signal_stats",
     """WITH a AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x)) AS v FROM embeddings)
-SELECT vec_id, len(list_filter(v, lambda x: x >= 0.999)) / len(v) AS clipping, round(greatest(-120, 20 * log10(greatest(list_max(v), 1e-12))), 6) AS peak_dbfs,
-  round(greatest(-120, 20 * log10(greatest(sqrt(list_dot_product(v, v) / len(v)), 1e-12))), 6) AS rms_dbfs, len(list_filter(v, lambda x: x < 1e-4)) / len(v) AS silence FROM a""",
+SELECT vec_id, len(list_filter(v, lambda x: x >= 0.999)) / len(v) AS clipping, round(20 * log10(greatest(list_max(v), 1e-12)), 6) AS peak_dbfs,
+  round(20 * log10(greatest(sqrt(list_dot_product(v, v) / len(v)), 1e-12)), 6) AS rms_dbfs, len(list_filter(v, lambda x: x < 1e-4)) / len(v) AS silence FROM a""",
 )
 def i8_signal_stats(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", *ag.signal_stats(None, "embedding"))
@@ -273,13 +273,13 @@ def m2_contradictions(spark, sf_dir):
     return hi.contradictions(hi.components(_identity_edges(spark, sf_dir)), different)
 
 
-_JOBS = f"""{_EVENTS}, j AS (SELECT user_id, event_id, t, event_id % 5 AS attempts, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'error' THEN 'retry_wait' WHEN 'click' THEN 'running' ELSE 'complete' END AS status, t + event_id % 1000 * 100000 AS due FROM ev)"""
+_JOBS = f"""{_EVENTS}, j AS (SELECT user_id, event_id, t, event_id % 5 AS attempts, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'error' THEN 'retry_wait' WHEN 'click' THEN 'running' ELSE 'complete' END AS status, CASE WHEN event_id % 4 > 0 THEN t + event_id % 1000 * 100000 END AS due FROM ev)"""
 
 
 def _jobs(spark, sf_dir):
     e = _events(spark, sf_dir)
     status = F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "error", "retry_wait").when(F.col("event_type") == "click", "running").otherwise("complete")
-    at = F.col("t") + F.col("event_id") % 1000 * 100_000
+    at = F.when(F.col("event_id") % 4 > 0, F.col("t") + F.col("event_id") % 1000 * 100_000)
     return e.withColumn("attempts", F.col("event_id") % 5).withColumn("status", status).withColumn("due_ms", at).withColumn("lease_ms", at)
 
 
@@ -288,7 +288,7 @@ _NOW = 1_705_300_000_000
 
 @query(
     "m7_claim_order",
-    f"""WITH {_JOBS}, k AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS claim FROM j WHERE attempts < 3 AND (status = 'queued' OR (status = 'retry_wait' AND due <= {_NOW}) OR (status = 'running' AND due < {_NOW})))
+    f"""WITH {_JOBS}, k AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS claim FROM j WHERE attempts < 3 AND (status = 'queued' OR (status = 'retry_wait' AND (due IS NULL OR due <= {_NOW})) OR (status = 'running' AND due <= {_NOW})))
 SELECT user_id, event_id, claim FROM k""",
 )
 def m7_claim_order(spark, sf_dir):

@@ -186,13 +186,15 @@ def j10_overlap_prf(spark, sf_dir):
 
 @query(
     "j14_verdict",
-    """SELECT doc_id, CASE WHEN w IS NULL OR d IS NULL OR t < 200 THEN 'insufficient_evidence' WHEN w <= 0.25 AND d <= 0.25 THEN 'pass' ELSE 'blocked' END AS verdict
-FROM (SELECT doc_id, CASE WHEN doc_id % 11 > 0 THEN (doc_id % 40) / 100.0 END AS w, (doc_id % 30) / 100.0 AS d, n_chars AS t FROM documents)""",
+    """SELECT doc_id, CASE WHEN doc_id % 13 = 0 OR doc_id % 7 = 0 OR doc_id % 17 = 0 OR n_chars < 200 THEN 'insufficient_evidence' WHEN w IS NULL OR d IS NULL THEN 'blocked' WHEN w <= 0.25 AND d <= 0.25 THEN 'pass' ELSE 'blocked' END AS verdict
+FROM (SELECT doc_id, n_chars, CASE WHEN doc_id % 11 > 0 THEN (doc_id % 40) / 100.0 END AS w, (doc_id % 30) / 100.0 AS d FROM documents)""",
 )
 def j14_verdict(spark, sf_dir):
+    """Gates by number: a declared split, a human review, fingerprints (null where doc_id divides by 17)."""
     i = F.col("doc_id")
     wer = F.when(i % 11 > 0, (i % 40) / 100.0)
-    return table(spark, sf_dir, "documents").select("doc_id", ag.verdict(wer, (i % 30) / 100.0, F.col("n_chars")).alias("verdict"))
+    gates = (i % 13 > 0, i % 7 > 0, F.when(i % 17 > 0, True))
+    return table(spark, sf_dir, "documents").select("doc_id", ag.verdict(wer, (i % 30) / 100.0, F.col("n_chars"), *gates).alias("verdict"))
 
 
 @query("d5_text_chunks")

@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as tx
+from lorekeep.operators import aggregates as ag
 from lorekeep.operators import alignment as al
 from lorekeep.operators import history as hi
+from lorekeep.operators import intervals as iv
 from lorekeep.operators import joins, search
 from lorekeep.operators import segmentation as sg
 from lorekeep.operators import stages
@@ -117,10 +119,74 @@ def test_segmentation():
     assert sg.segment_community(0, 31_000, [(12_000, 3, False), (29_000, 1, True)]) == [(29_000, "extension"), (31_000, "end")]
     assert sg.segment_legacy(0, 35_000, [(12_500, "turn", 0.5), (17_000, "silence", 0.5)])[0] == (17_000, "silence")
     assert sg.segment_legacy(0, 35_000, [])[0] == (27_000, "hard_maximum")
+    near = [(11_000, "strong_pause"), (11_200, "speaker_change")]
+    assert sg.segment_native(0, 40_000, near)[0] == (11_000, "strong_pause")
+    assert sg.segment_native(0, 40_000, [(7_900, "short_pause"), (8_100, "speaker_change")])[0] == (8_100, "speaker_change")  # the pause is out of reach
     cuts = sg.segment_native(0, 200_000, [(t, "short_pause") for t in range(5_000, 200_000, 7_000)], [(10_000, 14_000)])
     assert all(b - a <= 30_000 for (a, _), (b, _) in itertools.pairwise([(0, ""), *cuts]))
 
 
+def test_native_candidates(spark):
+    """Turns A 0-10 s and B 12-20 s: the change at 12 s is a second from the pause's midpoint."""
+    t = turns_frame(spark, [("A", 0, 10_000), ("B", 12_000, 20_000)])
+    got = [(r.t, r.kind) for r in sg.native_candidates(t, t, ["episode"], 60_000).orderBy("t").collect()]
+    assert got == [(11_000, "strong_pause"), (12_000, "speaker_change")]
+    t = turns_frame(spark, [("A", 0, 10_000), ("B", 10_300, 20_000)])
+    got = [(r.t, r.kind) for r in sg.native_candidates(t, t, ["episode"], 60_000).orderBy("t").collect()]
+    assert got == [(10_150, "short_pause_and_speaker_change")]
+    assert [sg.overlap_cost(t, [(10_000, 11_000)]) for t in (9_750, 9_751, 10_000, 10_999, 11_000, 11_249, 11_250)] == [0, 0.75, 1.5, 1.5, 0.75, 0.75, 0]
+
+
+def test_speaker_conditions(spark):
+    """Known answers for partial, heavy and no overlap."""
+    one = lambda rows: iv.speaker_condition(turns_frame(spark, rows), ["episode"], "speaker", 60_000).first()
+    r = one([("A", 3_000, 8_000), ("B", 4_000, 5_000)])
+    assert (r.kind, r.speech_ms, r.overlap_ms, r.overlap_fraction, r.most, r.labels) == ("partial_overlap", 5_000, 1_000, 0.2, 2, 2)
+    r = one([("A", 0, 8_000), ("B", 2_000, 6_000), ("C", 3_000, 5_000)])
+    assert (r.kind, r.most, r.overlap_ms, r.overlap_fraction) == ("heavy_overlap", 3, 4_000, 0.5)
+    assert one([("A", 0, 10), ("B", 10, 20)]).kind == "multi_speaker_no_overlap" and one([("A", 0, 10), ("A", 5, 20)]).kind == "single_speaker"
+    assert one([("A", 5, 5)]).kind == "uncertain"
+
+
+def test_signal(spark):
+    """Silence has the floor of -240 dB, an empty signal -120; a sample that isn't finite fails."""
+    rows = spark.createDataFrame([(1, [0.0, 0.0]), (2, []), (3, [1.0, -1.0])], "i int, s array<double>")
+    got = {r.i: tuple(r)[1:] for r in rows.select("i", *ag.signal_stats(None, "s")).collect()}
+    assert got == {1: (0.0, -240.0, -240.0, 1.0), 2: (0.0, -120.0, -120.0, 1.0), 3: (1.0, 0.0, 0.0, 0.0)}
+    for bad in (float("nan"), float("inf")):
+        with pytest.raises(Exception, match="finite"):
+            spark.createDataFrame([([0.1, bad],)], "s array<double>").select(*ag.signal_stats(None, "s")).collect()
+
+
+def test_alignment_is_least_and_whole(monkeypatch):
+    rng = random.Random(4)
+    for cells in (4_096, 6):
+        monkeypatch.setattr(al, "BLOCK_CELLS", cells)
+        for _ in range(200):
+            ref, hyp = (rng.choices("abc", k=rng.randrange(14)) for _ in range(2))
+            ops = al.align(ref, hyp)
+            assert sum(o != "equal" for o, _, _ in ops) == lev(ref, hyp)
+            assert [i for o, i, _ in ops if o != "insert"] == list(range(len(ref))) and [j for o, _, j in ops if o != "delete"] == list(range(len(hyp)))
+            assert all((ref[i] == hyp[j]) == (o == "equal") for o, i, j in ops if o in ("equal", "substitute"))
+    monkeypatch.setattr(al, "BLOCK_CELLS", 4_096)
+    words = [str(i % 977) for i in range(10_000)]
+    assert al.edit_counts(words, [*words[:5_000], "x", *words[5_001:]]) == (1, 0, 0)
+    s, d, i = al.edit_counts(words[:6_000], words[300:6_100:2] + words[:100])
+    assert s + d + i >= 2_900 and d - i == 6_000 - 2_900 - 100
+
+
+def test_assignment_of_many_rows():
+    """Of equal totals the lowest columns in order of rows, as for few rows."""
+    rng = random.Random(2)
+    for n in (3, 5):
+        cost = np.array([[rng.randrange(3) for _ in range(n)] for _ in range(n)], float)
+        least = min(sum(cost[i, c] for i, c in enumerate(p)) for p in itertools.permutations(range(n)))
+        want = next(list(p) for p in itertools.permutations(range(n)) if sum(cost[i, c] for i, c in enumerate(p)) == least)
+        assert al.best_assignment(cost) == (least, want) and al._first_columns(cost, least) == want
+    assert al.best_assignment(1.0 - np.eye(24))[1] == list(range(24))
+    assert al.cpwer({f"s{i:02}": ["w", str(i)] for i in range(23)}, {f"h{i:02}": ["w", str(i)] for i in range(23)})["errors"] == 0
+
+
 def test_stages_and_greedy():
     assert stages.downstream(["diarization"]) >= {"attribution", "exemplars", "chunks", "text_index", "voice_indexes", "candidates"}
     assert stages.reusable(["asr", "chunks", "decode"], ["asr"]) == {"decode"}

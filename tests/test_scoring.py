@@ -20,6 +20,8 @@ def test_evaluate(spark):
     assert (r.sa_errors, r.sa_wer, r.unassigned_rate) == (3, 0.75, 0.0)  # tre is inserted for A; of B's two one is lost, one is wrong
     assert (r.cp_errors, r.cp_total) == (3, 4)
     assert r.verdict == "insufficient_evidence"
+    gated = lambda n, g: scoring.evaluate(ref, hyp, rt, ht, spark.createDataFrame([("e", n, g)], "source string, timings long, gates boolean"), 1000).first().verdict
+    assert (gated(200, True), gated(200, None), gated(199, True)) == ("pass", "insufficient_evidence", "insufficient_evidence")
 
 
 def test_unmapped_words_and_missing_hypothesis(spark):
@@ -29,6 +31,8 @@ def test_unmapped_words_and_missing_hypothesis(spark):
     r = scoring.speaker_word_scores(ref, hyp, maps).first()
     assert (r.sa_errors, r.unassigned_rate) == (1, 0.5)
     assert scoring.word_scores(ref, hyp.limit(0)).first().wer == 1.0
+    silent = spark.createDataFrame([("e", "X", "A"), ("e", "Z", "Q")], "source string, hyp_label string, ref_label string")
+    assert scoring.speaker_word_scores(ref, hyp, silent).first().unassigned_rate == 0.5  # Q says nothing
 
 
 def test_slices(spark):
