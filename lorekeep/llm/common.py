@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.functions.work import materialize, new_path  # noqa: F401
+
 #: A side of a join is hinted for broadcast only if it was counted and has at most this many rows.
 BROADCAST_ROWS = 200_000
 
@@ -15,31 +22,41 @@ BROADCAST_ROWS = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lorekeep-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df with a broadcast hint if its counted rows are within BROADCAST_ROWS; beyond, the planner joins by shuffle."""
+    n = df.count() if rows is None else rows
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in order, cut so that the values of a string or binary column are about `limit` bytes a slice."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(size) // limit
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+        for i, j in zip(edges, edges[1:], strict=False):
+            if j > i:
+                yield b.slice(i, j - i)
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/lorekeep/{name}-{uuid.uuid4().hex}"
+def release() -> None:
+    """Give memory that a task no longer needs back to the system: workers live on, and others share the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage, and survives the loss of executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def bounded(run: Callable, column: int | None = None) -> Callable:
+    """run over slices of its batches (by the bytes of the column), and its memory given back at the end."""
 
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches if column is None else slices(batches, column))
+        finally:
+            release()
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within BROADCAST_ROWS; beyond, the planner joins by shuffle."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+    return held
 
 
 def word_count(text: Column) -> Column:

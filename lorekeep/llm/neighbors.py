@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.llm.common import materialize, read
-from lorekeep.llm.graph import connected_components
+from lorekeep.operators.graph import connected_components
 
 #: Pivots are picked from this many sampled vectors at most: SAMPLE bounds what the driver holds.
 SAMPLE, PIVOTS, NEAREST, TILE = 4_096, 512, 8, 1_024

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import read
+from lorekeep.llm.common import bounded, read
 from lorekeep.llm.tokens import default_tokenizer, encoder
 
 #: Costs in ids of padding: a cut at a sentence, a cut inside one, and each window.
@@ -45,16 +45,21 @@ def choose_cuts(position: np.ndarray, penalty: np.ndarray, window: int) -> list[
     position ascends strictly, from 0, by at most window a step. Of equal costs the latest start wins.
     """
     at, pen = position.tolist(), penalty.tolist()
-    near: dict[int, list[int]] = {}
-    size = 1
+    ends, starts, size = [], [], 1  # of windows whose length is a power of two
     while size < window:
         j = np.searchsorted(position, position - size)
-        for b in np.flatnonzero((position[np.minimum(j, len(position) - 1)] == position - size)).tolist():
-            near.setdefault(b, []).append(int(j[b]))
+        b = np.flatnonzero(position[np.minimum(j, len(position) - 1)] == position - size)
+        ends.append(b)
+        starts.append(j[b])
         size *= 2
+    ends, starts = (np.concatenate([np.empty(0, np.int64), *x]) for x in (ends, starts))
+    near = starts[np.argsort(ends, kind="stable")].tolist()
+    upto = np.cumsum(np.bincount(ends, minlength=len(at))).tolist()
     best, back = [0.0] * len(at), [0] * len(at)
     queue = deque([0])
+    pop, append = queue.pop, queue.append
     keep = [0.0] * len(at)  # best + position
+    seen = 0
     for j in range(1, len(at)):
         p = at[j]
         low = p - window
@@ -62,15 +67,19 @@ def choose_cuts(position: np.ndarray, penalty: np.ndarray, window: int) -> list[
             queue.popleft()
         i = queue[0]
         cost = keep[i] + window - p
-        for k in near.get(j, ()):
+        last = upto[j]
+        while seen < last:
+            k = near[seen]
+            seen += 1
             if best[k] < cost:
                 cost, i = best[k], k
         cost += pen[j]
-        best[j], back[j] = cost, i
+        best[j] = cost
+        back[j] = i
         total = keep[j] = cost + p
         while queue and keep[queue[-1]] >= total:
-            queue.pop()
-        queue.append(j)
+            pop()
+        append(j)
     cuts, j = [len(at) - 1], len(at) - 1
     while j:
         j = back[j]
@@ -159,7 +168,7 @@ def pack(docs: DataFrame, window: int = 1024, end_id: int = 0, tokenizer: str |
     """
     schema = ", ".join(f"{n} long" for n in NAMES) + (", ids binary" if with_ids else "")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_packer(tokenizer or default_tokenizer(), window, end_id, with_ids), schema)
+    return rows.mapInArrow(bounded(_packer(tokenizer or default_tokenizer(), window, end_id, with_ids), 1), schema)
 
 
 def op1_packing(spark, sf_dir: str) -> DataFrame:

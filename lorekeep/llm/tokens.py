@@ -13,14 +13,14 @@ key once for each level that it falls through, compares the fingerprint, and rea
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import compress, repeat
-from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -29,98 +29,105 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import materialize, new_path, read
+from lorekeep.llm.common import bounded, materialize, new_path, read
 
-PIECES = 1_000_000  # remembered pieces of a worker process
+PIECES = 400_000  # remembered pieces of a worker process
 LONGEST = 48  # characters of a piece that is remembered
-TOGETHER = 200_000  # characters encoded together
-_ODD_SPACE = re.compile(r"\s (?:\s|\Z)")
+SEEN = 1 << 22  # marks of pieces met before: a piece is remembered when it comes again
+_DOUBLE = re.compile(r"\s (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 _HEAD = "\uffff"  # opens the key of a piece without a space before it
 _L = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
-_PLAIN = re.compile(rf"({_HEAD}?{_L})([,.]?)(?:(\n)({_L})([,.]?))?")
+_WORD = re.compile(_L)
+_S = r"[!-/:-@\[-`{-~]"  # signs: a run of them after a word is one pre-token
+_SIGNED = re.compile(rf"({_HEAD}?{_L})({_S}+)")
+_LINES = re.compile(rf"({_HEAD}?{_L}{_S}*)\n({_L}{_S}*)")
+
+
+def _byte_signs() -> dict[int, str]:
+    """For the characters of words and the space, the signs by which byte-level vocabularies write their bytes."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    sign = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return {c: "".join(sign[b] for b in chr(c).encode()) for c in (0x20, *range(0xC0, 0x100))}
+
+
+class _Pieces(dict):
+    """ids of pieces, encoded where they are missing; those that come again are kept, PIECES at most."""
+
+    def __init__(self, tokenizer, code: str):
+        self.tokenizer, self.code, self.signs = tokenizer, code, _byte_signs()
+        self.word = tokenizer.model.tokenize
+        self.seen, self.marks, self.odd = bytearray(SEEN), 0, False
+
+    def whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def __missing__(self, p: str) -> bytes:
+        if p.isascii() and p.isalpha():  # a word is one pre-token
+            out = array(self.code, [t.id for t in self.word("Ġ" + p)]).tobytes()
+        elif not p or p[0].isspace():  # never kept, so that a space before white space is always noticed
+            self.odd = True
+            return self.whole(" " + p)
+        elif m := _SIGNED.fullmatch(p):
+            out = self[m[1]] + self[_HEAD + m[2]]
+        elif p[0] == _HEAD:
+            out = array(self.code, [t.id for t in self.word(p[1:].translate(self.signs))]).tobytes() if _WORD.fullmatch(p, 1) else self.whole(p[1:])
+        elif _WORD.fullmatch(p):
+            out = array(self.code, [t.id for t in self.word("Ġ" + p.translate(self.signs))]).tobytes()
+        elif m := _LINES.fullmatch(p):
+            out = self[m[1]] + self[_HEAD + "\n"] + self[_HEAD + m[2]]
+        else:
+            out = self.whole(" " + p)
+        at = hash(p) & (SEEN - 1)
+        if not self.seen[at]:
+            self.seen[at] = 1
+            self.marks += 1
+            if self.marks > SEEN // 3:
+                self.seen, self.marks = bytearray(SEEN), 0
+        elif len(self) < PIECES and len(p) <= LONGEST:
+            self[p] = out
+        return out
 
 
 class Encoder:
-    """ids(texts): the ids of each text as little-endian bytes of self.dtype, as tokenizers gives them."""
+    """ids(texts): the ids of each text as little-endian bytes of self.dtype, as tokenizers gives them.
+
+    Words go to the tokenizer's model without the search for pre-tokens, which they are by themselves; all else goes
+    through the whole tokenizer. Memory is bounded by PIECES, of at most LONGEST characters each.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        top = self.tokenizer.get_vocab_size()
-        self.dtype = np.dtype("<u2") if top <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        """ids of pieces, none with an added token: joined by one, which cuts them apart whatever they hold."""
-        if not self.added:
-            return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        mark, number = next(iter(self.added.items()))
-        found = np.array(self.tokenizer.encode_batch_fast([mark.join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
-        raw, cut, n = found.tobytes(), np.flatnonzero(found == number), self.dtype.itemsize
-        starts, ends = np.concatenate(([0], (cut + 1) * n)), np.concatenate((cut * n, [len(raw)]))
-        return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """ids of pieces not known so far. Words, a comma or full stop after one, and a line feed between are pre-tokens each."""
-        known, found, whole, split = self.known, {}, set(), []
-        for p in new:
-            m = _PLAIN.fullmatch(p)
-            if m and (m[2] or m[3]):
-                parts = [m[1]] + [_HEAD + x for x in m.groups()[1:] if x]
-                split.append((p, parts))
-                whole.update(parts)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.dtype = np.dtype("<u4") if wide else np.dtype("<u2")
+        kind = json.loads(self.tokenizer.to_str())
+        pre = kind["pre_tokenizer"] or {}
+        self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"] and not kind["normalizer"] and kind["model"]["type"] == "BPE"
+        self.known = _Pieces(self.tokenizer, "I" if wide else "H")
+
+    def _text(self, t: str) -> bytes:
+        known = self.known
+        if not self.cuts or _HEAD in t or any(a in t for a in self.added):
+            return known.whole(t)
+        known.odd = False
+        pieces = t.split(" ")
+        for again in (True, False):
+            if pieces[0]:
+                pieces[0] = _HEAD + pieces[0]
             else:
-                whole.add(p)
-        todo = [p for p in whole if p not in known]
-        for i in range(0, len(todo), 4096):
-            part = todo[i : i + 4096]
-            found.update(zip(part, self._encode([p[1:] if p[:1] == _HEAD else " " + p for p in part]), strict=True))
-        for p, parts in split:
-            found[p] = b"".join([known.get(x) or found[x] for x in parts])
-        if len(known) < PIECES:
-            known.update(found if max(map(len, found), default=0) <= LONGEST else {p: v for p, v in found.items() if len(p) <= LONGEST})
-        return found
+                del pieces[0]
+            out = b"".join(map(known.__getitem__, pieces))
+            if not (again and known.odd and _DOUBLE.search(t)):
+                return out
+            pieces = _CUT.split(t)
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        out, part, size = [], [], 0
-        for t in texts:  # a few texts at a time: their pieces stay in the processor's cache
-            part.append(t)
-            size += len(t or "")
-            if size > TOGETHER:
-                out += self._ids(part)
-                part, size = [], 0
-        return out + self._ids(part)
-
-    def _ids(self, texts: list[str | None]) -> list[bytes]:
-        get, out, open_, new = self.known.get, [], [], set()
-        for t in texts:
-            if not t:
-                out.append(b"")
-            elif _HEAD in t or any(a in t for a in self.added):
-                out.append(np.array(self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, self.dtype).tobytes())
-            else:
-                pieces = _CUT.split(t) if _ODD_SPACE.search(t) else t.split(" ")
-                if pieces[0]:
-                    pieces[0] = _HEAD + pieces[0]
-                else:
-                    del pieces[0]
-                found = list(map(get, pieces))
-                if None in found:
-                    new.update(compress(pieces, map(is_, found, repeat(None))))
-                    open_.append((len(out), pieces))
-                    out.append(b"")
-                else:
-                    out.append(b"".join(found))
-        if open_:
-            late = self._learn(new)
-            for i, pieces in open_:
-                found = list(map(get, pieces))
-                out[i] = b"".join(found if None not in found else [late[p] if v is None else v for p, v in zip(pieces, found, strict=True)])
-        return out
+        return [self._text(t) if t else b"" for t in texts]
 
 
 @functools.lru_cache(maxsize=2)
@@ -310,7 +317,7 @@ def write_ids(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, sh
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    manifest = materialize(rows.mapInArrow(_writer(folder, tokenizer or default_tokenizer(), end_id, shard_ids), MANIFEST), "ids-manifest")
+    manifest = materialize(rows.mapInArrow(bounded(_writer(folder, tokenizer or default_tokenizer(), end_id, shard_ids), 1), MANIFEST), "ids-manifest")
     before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 

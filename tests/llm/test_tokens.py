@@ -27,7 +27,7 @@ def crc(ids):
 def test_encoder_equals_the_library(spark, sf):
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     rng = random.Random(1)
-    parts = [" ", "  ", "\n", "\t", "a", "é", "don't", "'s", "12", ",", ".", "word.", "x,y", " ", "　", "漢字", "🙂", "\x1c", "<|endoftext|>", "I'll", "\r\n", "…"]
+    parts = [" ", "  ", "\n", "\t", "a", "é", "don't", "'s", "12", ",", ".", "word.", "word...", "né$$$#", "\nWord,", "x,y", " ", "　", "漢字", "🙂", "\x1c", "<|endoftext|>", "I'll", "\r\n", "…"]
     texts += ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(3000)] + ["x" * 5000, None, ""]
     enc = Encoder(PATH)
     for _ in range(2):  # then from memory
