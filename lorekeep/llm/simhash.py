@@ -1,17 +1,18 @@
 """SimHash near-duplicates through a segment-popcount embedding.
 
-A 64-bit fingerprint is described by the number of ones in each of its 16 four-bit segments. One differing bit changes
+A 64-bit fingerprint is described by the number of ones in each of its 32 two-bit segments. One differing bit changes
 one count by one, so the Manhattan distance of two such vectors never exceeds the Hamming distance of the fingerprints.
 The grid join finds vectors at distance <= 2: each fingerprint is filed under its own grid point and the points next to
-it (33 at most), and two vectors at distance <= 2 always share a point. Fingerprints alone on all their points are done.
+it (65 at most), and two vectors at distance <= 2 always share a point. Fingerprints alone on all their points are done.
 The others are verified exactly, without listing pairs: two fingerprints differ in at most two bits if and only if they
-share a 64-bit word within one flipped bit of each, so each is filed under the flips that agree with the grid point it
-shares, and words held by several fingerprints give links. Every step is linear in the number of distinct fingerprints.
+share a 64-bit word within one flipped bit of each. A flip moves a fingerprint to one of its points, so on a shared point
+each is filed under the one or two flips that lead there, and words held by several fingerprints give links. Every step
+is linear in the number of distinct fingerprints.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -20,10 +21,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import materialize
-from lorekeep.llm.graph import connected_components
+from lorekeep.llm.common import bounded, materialize
+from lorekeep.operators.graph import connected_components
 
-SEGMENTS, WIDTH = 16, 4
+SEGMENTS, WIDTH = 32, 2
 SEED = 42
 
 
@@ -40,7 +41,12 @@ def fingerprint(text: str | None, shingle: int = 3, lower: bool = True) -> int:
     else:
         parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
     n = max(1, len(words) - shingle + 1)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), dtype=np.uint64, count=n)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), dtype=np.uint64, count=n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit fingerprint: the bits that over half of the 64-bit hashes have."""
+    n = len(hashes)
     # a byte lane for each bit: up to 255 rows can be added as 64-bit words before a lane is full
     lanes = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").view(np.uint64)
     sums = np.add.reduceat(lanes, np.arange(0, n, 255), axis=0)
@@ -52,59 +58,76 @@ def _batches(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             marks = [fingerprint(t, shingle) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(marks, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(marks, pa.int64())], names=["doc_id", "text_hash", "fp"])
 
     return run
 
 
+def over_texts(docs: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """f over Arrow slices of (doc_id long, text string, text_hash long), for every row."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text).alias("text_hash")).mapInArrow(bounded(f, 1), schema)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id long, fp long) of every row."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_batches(shingle), "doc_id long, fp long")
+    """(doc_id long, text_hash long, fp long) of every row."""
+    return over_texts(docs, _batches(shingle), "doc_id long, text_hash long, fp long")
 
 
-def _count(fp: Column, s: int) -> Column:
-    return F.bit_count(F.shiftrightunsigned(fp, s * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1).cast("long"))).cast("long")
+def first_row() -> Column:
+    """Aggregate: the row (doc_id, text_hash) with the smallest doc_id, of equal ones the smallest hash; null without a doc_id."""
+    return F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash")))
+
+
+def _flipped(fp: Column, b: Column) -> Column:
+    return fp.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))
 
 
 def grid_point(fp: Column) -> Column:
-    """The vector of segment counts, three bits for each."""
-    return sum((F.shiftleft(_count(fp, s), 3 * s) for s in range(1, SEGMENTS)), _count(fp, 0))
+    """The vector of segment counts, two bits for each: whether the count is two, and whether it is one or two."""
+    odd, next_ = F.lit(0x5555555555555555).cast("long"), F.shiftrightunsigned(fp, 1)
+    return fp.bitwiseAND(next_).bitwiseAND(odd).bitwiseOR(F.shiftleft(fp.bitwiseOR(next_).bitwiseAND(odd), 1))
+
+
+def _bits() -> Column:
+    return F.sequence(F.lit(0), F.lit(63))
 
 
 def _near_points(fp: Column) -> Column:
-    own = grid_point(fp)
-    steps = [own]
-    for s in range(SEGMENTS):
-        unit = F.lit(1 << (3 * s)).cast("long")
-        steps += [F.when(_count(fp, s) < WIDTH, own + unit), F.when(_count(fp, s) > 0, own - unit)]
-    return F.array_compact(F.array(*steps))
+    """The grid point of fp and all points next to it: those to which one flip leads."""
+    return F.array_union(F.array(grid_point(fp)), F.transform(_bits(), lambda b: grid_point(_flipped(fp, b))))
 
 
 def links(marks: DataFrame) -> DataFrame:
     """Links (a, b) between rows of marks(fp, rep), fp distinct, that join all fp within two bits of each other."""
     filed = marks.select("fp", "rep", F.explode(_near_points(F.col("fp"))).alias("point"))
     shared = filed.withColumn("n", F.count("*").over(Window.partitionBy("point"))).where("n > 1")
-    flips = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))))
-    words = shared.select("rep", "point", F.explode(flips).alias("word")).where(grid_point(F.col("word")) == F.col("point"))
+    fp, point = F.col("fp"), F.col("point")
+    flips = F.transform(F.filter(_bits(), lambda b: grid_point(_flipped(fp, b)) == point), lambda b: _flipped(fp, b))
+    words = shared.select("rep", F.explode(F.when(grid_point(fp) == point, F.array(fp)).otherwise(flips)).alias("word"))
     low = words.select("rep", F.min("rep").over(Window.partitionBy("word")).alias("low"))
     return low.where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp, component_id of every row: the smallest doc_id that links of at most two differing bits reach.
+    """doc_id, text_hash, fp, component_id, component_hash of every row: the first row that links of at most two bits reach.
 
+    component_id is the smallest doc_id of the group, component_hash the smallest text_hash (xxhash64) among its rows.
     Null text counts as empty, and texts without words have fingerprint 0, linked like any other. Repeated rows stay,
-    each with its group's id. A null doc_id never names a group; a group of such rows only has a null id. An empty
-    table gives an empty result. Columns other than doc_id and text are not read.
+    each with its group's id. A null doc_id never names a group; a group of such rows only has a null id. Rows with one
+    doc_id and different texts are told apart. An empty table gives an empty result. Columns other than doc_id and text
+    are not read.
     """
     marks = materialize(fingerprints(docs, shingle), "simhash")
-    classes = marks.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    known = materialize(classes, "simhash-classes")
+    classes = materialize(marks.groupBy("fp").agg(first_row().alias("first")), "simhash-classes")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = known.where("rep IS NOT NULL").repartition(n, "fp")  # the classes are a few small files, but fan out
+    spread = classes.select("fp", F.col("fp").alias("rep")).repartition(n, "fp")  # the classes are a few small files, but fan out
     found = connected_components(links(spread), "simhash-links")
-    named = known.join(found, known["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return marks.join(named, "fp").select("doc_id", "fp", "component_id")
+    linked = classes.join(found, classes["fp"] == found["node"]).select("fp", "component", "first")
+    firsts = linked.groupBy("component").agg(F.min("first").alias("group_first"))
+    named = materialize(linked.join(firsts, "component").select("fp", "group_first"), "simhash-named")
+    named = classes.join(named, "fp", "left").select("fp", F.coalesce("group_first", "first").alias("first"))
+    return marks.join(named, "fp").select("doc_id", "text_hash", "fp", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("component_hash"))
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
