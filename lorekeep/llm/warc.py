@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import materialize, new_path, read
+from lorekeep.llm.common import bounded, materialize, new_path, read, slices
 
 CHUNK = 8_192  # bytes of a chunk of the transfer framing
 SEGMENT = 32_768  # bytes of a record's block
@@ -86,27 +86,62 @@ def page_records(name: str, url: str, payload: bytes, refers_to: str | None, seg
         yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{name}:{i}>"), *common[:2], ("WARC-Segment-Origin-ID", f"<urn:page:{name}>"), ("WARC-Segment-Number", str(i)), *total], part)
 
 
-def parse_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of a file of gzip members or plain records; names of headers in lower case."""
+READ = 1 << 16  # bytes read at a time
+HEAD = 1 << 20  # most bytes of a record's headers
+
+
+def _members(stream) -> Iterator[bytes]:
+    """The bytes of a file of gzip members, or of a plain one, piece by piece."""
+    raw = stream.read(READ)
+    packed = raw[:2] == b"\x1f\x8b"
+    while raw and not packed:
+        yield raw
+        raw = stream.read(READ)
     while raw:
-        if raw[:2] == b"\x1f\x8b":
-            z = zlib.decompressobj(31)
-            data = z.decompress(raw) + z.flush()
-            if not z.eof:
+        z = zlib.decompressobj(31)
+        while not z.eof:
+            if not raw:
                 raise ValueError("a record is cut off")
-            raw = z.unused_data
-        else:
-            data, raw = raw, b""
-        while data:
-            head, mark, rest = data.partition(b"\r\n\r\n")
-            if not head.startswith(b"WARC/") or not mark:
+            yield z.decompress(raw)
+            raw = z.unused_data if z.eof else stream.read(READ)
+        raw = raw or stream.read(READ)
+
+
+def parse_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of a file open for reading, of gzip members or plain records; names of headers in
+    lower case. Held are one record and what was read with it."""
+    pieces, held, seen = _members(stream), bytearray(), 0
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        if piece is not None:
+            held.extend(piece)
+        return piece is not None
+
+    while True:
+        while (end := held.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(held)
+            if not held.startswith(b"WARC/"[: len(held)]) or len(held) > HEAD:
                 raise ValueError("no record where one should begin")
-            headers = {k.strip().lower(): v.strip() for k, _, v in (h.partition(":") for h in head.decode("utf-8", "replace").split("\r\n")[1:])}
-            n = int(headers["content-length"])
-            if rest[n : n + 4] != b"\r\n\r\n":
+            if not more():
+                if held:
+                    raise ValueError("a record is cut off")
+                return
+        if not held.startswith(b"WARC/"):
+            raise ValueError("no record where one should begin")
+        lines = held[:end].decode("utf-8", "replace").split("\r\n")[1:]
+        headers = {k.strip().lower(): v.strip() for k, _, v in (h.partition(":") for h in lines)}
+        start = end + 4
+        stop = start + int(headers["content-length"])
+        while len(held) < stop + 4:
+            if not more():
                 raise ValueError("a record is cut off")
-            yield headers, rest[:n]
-            data = rest[n + 4 :]
+        if held[stop : stop + 4] != b"\r\n\r\n":
+            raise ValueError("a record is cut off")
+        block = bytes(held[start:stop])
+        del held[: stop + 4]
+        seen = 0
+        yield headers, block
 
 
 def _writer(folder: str, segment: int):
@@ -119,7 +154,7 @@ def _writer(folder: str, segment: int):
             handle.close()
             return pa.RecordBatch.from_arrays([pa.array([folder + name.removeprefix(root)]), pa.array([count], pa.int64())], names=["path", "records"])
 
-        for b in batches:
+        for b in slices(batches, 2):
             for key, url, html, refers in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if handle is None:
                     name, size, count = f"{root}/{part:06d}-{uuid.uuid4().hex}.warc.gz", 0, 0
@@ -157,7 +192,12 @@ def write_warc(pages: DataFrame, min_payload: int = 0, segment: int = SEGMENT, f
     # the record's id: of a page that is told from rows with the same page_id by a number of its own
     key = F.concat_ws(".", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.monotonically_increasing_id().cast("string"))
     keyed = joined.select(key.alias("key"), "url", "html", F.col("first").cast("string"))
-    return materialize(keyed.mapInArrow(_writer(folder or new_path(spark, "warc"), segment), "path string, records long"), "warc-files")
+    return materialize(keyed.mapInArrow(bounded(_writer(folder or new_path(spark, "warc"), segment)), "path string, records long"), "warc-files")
+
+
+def _file_records(store, name: str) -> Iterator[tuple[dict[str, str], bytes]]:
+    with store.open_input_stream(name, compression=None) as f:
+        yield from parse_records(f)
 
 
 SEGMENTS = "origin string, number int, kind string, refers_to string, url string, digest string, declared long, total long, block binary, payload binary"
@@ -169,10 +209,8 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for path in b.column(0).to_pylist():
             store, name = fs.FileSystem.from_uri(path)
-            with store.open_input_stream(name, compression=None) as f:
-                raw = f.read()
             rows, held = [], 0
-            for h, block in parse_records(raw):
+            for h, block in _file_records(store, name):
                 kind, number = h["warc-type"], int(h.get("warc-segment-number", 0))
                 whole = kind == "response" and not number
                 row = (bare(h.get("warc-segment-origin-id") or h["warc-record-id"]), number, kind, bare(h.get("warc-refers-to")), h.get("warc-target-uri"), (h.get("warc-payload-digest") or "").removeprefix("sha1:") or None,
@@ -188,9 +226,9 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last column holds the reassembled block; it becomes the payload."""
-    for b in batches:
-        payloads = [http_payload(x) for x in b.column(b.num_columns - 1).to_pylist()]
+    """The last column holds the blocks of the segments in order; the payload takes its place, row by row."""
+    for b in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
+        payloads = [http_payload(b"".join(x)) for x in b.column(b.num_columns - 1).to_pylist()]
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(payloads, pa.binary())], names=[*b.schema.names[:-1], "payload"])
 
 
@@ -201,7 +239,7 @@ def read_warc(files: DataFrame) -> DataFrame:
     differ from the total length fails the job. declared is a revisit's payload length.
     """
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    records = files.select("path").repartition(n).mapInArrow(_reader, SEGMENTS)
+    records = files.select("path").repartition(n).mapInArrow(bounded(_reader), SEGMENTS)
     records = materialize(records, "warc-records")
     cols = ["origin", "kind", "refers_to", "url", "digest", "declared", "payload"]
     whole = records.where("number = 0").select(cols)
@@ -210,13 +248,13 @@ def read_warc(files: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("number", "block"))).alias("parts"),
         F.max("total").alias("total"),
     )
-    block = F.array_join(F.transform("parts", lambda p: F.hex(p["block"])), "")
-    parts = parts.withColumn("whole", F.unhex(block))
-    ok = F.col("head").isNotNull() & (F.element_at("parts", -1)["number"] == F.size("parts")) & (F.length("whole") == F.col("total"))
-    parts = parts.withColumn("whole", F.when(F.coalesce(ok, F.lit(False)), F.col("whole")).otherwise(F.raise_error(F.concat(F.lit("segments do not fit: "), "origin"))))
-    joined = parts.select("origin", F.lit("response").alias("kind"), F.lit(None).cast("string").alias("refers_to"), "head.url", "head.digest", F.lit(None).cast("long").alias("declared"), "whole")
+    length = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.octet_length(p["block"]))
+    ok = F.col("head").isNotNull() & (F.element_at("parts", -1)["number"] == F.size("parts")) & (length == F.col("total"))
+    blocks = F.transform("parts", lambda p: p["block"])
+    parts = parts.withColumn("blocks", F.when(F.coalesce(ok, F.lit(False)), blocks).otherwise(F.raise_error(F.concat(F.lit("segments do not fit: "), "origin"))))
+    joined = parts.select("origin", F.lit("response").alias("kind"), F.lit(None).cast("string").alias("refers_to"), "head.url", "head.digest", F.lit(None).cast("long").alias("declared"), "blocks")
     schema = "origin string, kind string, refers_to string, url string, digest string, declared long, payload binary"
-    return whole.unionByName(joined.mapInArrow(_decode, schema))
+    return whole.unionByName(joined.mapInArrow(bounded(_decode), schema))
 
 
 def _sha(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +271,7 @@ def page_summary(records: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of read_warc's rows."""
     page = lambda c: F.substring_index(c, ".", 1).try_cast("long")
     rows = records.select(page("origin").alias("page_id"), F.col("kind").alias("record_type"), page("refers_to").alias("refers_to"), "digest", "payload", "declared")
-    found = rows.mapInArrow(_sha, "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long")
+    found = rows.mapInArrow(bounded(_sha, 4), "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long")
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -3,6 +3,8 @@
 import base64
 import gzip
 import hashlib
+import io
+import time
 
 import pytest
 
@@ -42,12 +44,28 @@ def test_segments_and_framing():
     with pytest.raises(ValueError):
         from_chunks(b"5\r\nabc")
     raw = b"".join(page_records("1.0", "http://x", b"p" * 5000, None, 512))
-    parsed = list(parse_records(raw))
+    parse = lambda raw: list(parse_records(io.BytesIO(raw)))
+    parsed = parse(raw)
     assert [h.get("warc-segment-number") for h, _ in parsed] == [str(i) for i in range(1, len(parsed) + 1)]
     assert int(parsed[-1][0]["warc-segment-total-length"]) == sum(len(b) for _, b in parsed)
-    assert list(parse_records(gzip.compress(raw[: len(raw)]))) == parsed
-    with pytest.raises(ValueError):
-        list(parse_records(raw[:-9]))
+    assert parse(gzip.compress(raw)) == parsed == parse(b"".join(gzip.compress(r) for r in page_records("1.0", "http://x", b"p" * 5000, None, 512)))
+    for bad in (raw[:-9], raw[:20], gzip.compress(raw)[:-9], b"HTTP/1.1 200 OK\r\n\r\n", b"WARC/1.1" + b"x" * (2 << 20)):
+        with pytest.raises(ValueError):
+            parse(bad)
+    assert parse(b"") == []
+
+
+def test_a_large_file_is_read_in_linear_time():
+    member = b"".join(gzip.compress(r) for r in page_records("1.0", "http://x", bytes(range(256)) * 40, None, 4_096))
+    start = time.perf_counter()
+    found = sum(len(b) for _, b in parse_records(io.BytesIO(member * 20_000)))  # some 18 MB of 60,000 members
+    assert found > 200_000_000 and time.perf_counter() - start < 60
+
+
+def test_revisits_from_a_least_size(spark):
+    pages = spark.createDataFrame([(1, "u", "abc"), (2, "u", "abc"), (3, "u", "longer"), (4, "u", "longer")], "page_id long, url string, html string")
+    got = {r.page_id: r.refers_to for r in page_summary(read_warc(write_warc(pages, min_payload=4))).collect()}
+    assert got == {1: None, 2: None, 3: None, 4: 3}
 
 
 def test_a_lost_segment_fails(spark, tmp_path):
