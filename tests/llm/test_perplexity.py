@@ -1,12 +1,13 @@
 """Base rules by brute force, and the model against a plain Kneser-Ney in dictionaries."""
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 
-from lorekeep.llm.perplexity import BEGIN, END, Model, base_figures, op3_quality_rules, quality_rules, store_model
+from lorekeep.llm.perplexity import ORDER, Model, base_figures, border_items, borders, count_items, op3_quality_rules, quality_rules, store_model
 
 
 def brute_figures(text):
@@ -24,13 +25,23 @@ def brute_figures(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(inside)
 
 
-def brute_model(words, order):
-    """words: {word: n}; gives cost(word)."""
-    raw = Counter()
-    for w, n in words.items():
-        s = BEGIN + w + END
-        for p in range(1, len(s)):
-            raw[s[max(0, p - order + 1) : p + 1]] += n
+def brute_grams(text):
+    """The n-grams of a text as byte strings, each ending in the byte that is foreseen."""
+    before, out = b"\xff", []
+    for w in text.split():
+        side = before[-3:] + b" "
+        whole = side + w + b" "
+        for p in range(len(side), len(whole)):
+            inner = p - len(side)
+            low = max(p - ORDER + 1, 0)
+            out.append(whole[low : p + 1] if inner < 3 else (b" " + w + b" ")[inner + 2 - ORDER : inner + 2])
+        before = b"\xff" + w
+    return out
+
+
+def brute_model(texts, order=ORDER):
+    """Plain modified Kneser-Ney in dictionaries; gives cost(text)."""
+    raw = Counter(g for t in texts for g in brute_grams(t))
     levels = {order: {g: n for g, n in raw.items() if len(g) == order}}
     for k in range(order - 1, 0, -1):
         below = Counter(g[1:] for g in levels[k + 1])
@@ -54,20 +65,14 @@ def brute_model(words, order):
                 table[k][g] = ((a - x) / total, h)
 
     def prob(g):
-        if g == "":
-            gam, kinds = gamma[1, ""]
-            return 1 / (kinds + 1)
+        if g == b"":
+            return 1 / (gamma[1, b""][1] + 1)
         k, h = len(g), g[:-1]
         if (k, h) not in gamma:
             return prob(g[1:])
-        own = table[k].get(g, (0, None))[0]
-        return own + gamma[k, h][0] * prob(g[1:])
-
-    def cost(w):
-        s = BEGIN + w + END
-        return -sum(math.log(prob(s[max(0, p - order + 1) : p + 1])) for p in range(1, len(s)))
+        return table[k].get(g, (0, None))[0] + gamma[k, h][0] * prob(g[1:])
 
-    return cost
+    return lambda text: -sum(math.log(prob(g)) for g in brute_grams(text))
 
 
 def test_figures():
@@ -76,34 +81,58 @@ def test_figures():
         assert base_figures(t, t.encode(), t.encode().split()) == brute_figures(t), t
 
 
+TEXTS = ["the cat sat on the mat and the hat", "a été là, a tea at the heat", "that man then ate than", "x", "on and on and on", "the  cat\tsat\n on a mat"]
+
+
+def model_of(spark, texts, lang="+en"):
+    rows = spark.createDataFrame([(lang, t) for t in texts], "lang string, text string")
+    return Model(*store_model(count_items(rows)))
+
+
 def test_model_equals_plain_kneser_ney(spark):
-    words = {"the": 50, "then": 9, "than": 7, "that": 20, "a": 30, "at": 4, "tea": 2, "eat": 1, "hat": 1, "été": 2, "x": 3, "heat": 1, "na": 1}
-    frame = spark.createDataFrame([("en", w, n) for w, n in words.items()], "lang string, word string, n long")
-    for order in (2, 3, 5):
-        model, cost = Model(store_model(frame, order), order), brute_model(words, order)
-        probe = [*words, "thea", "zzz", "hhhhhhhhhh", "a" * 40, "té"]
-        assert np.allclose(model.word_costs(probe, "en"), [cost(w) for w in probe], rtol=1e-4)
-    letters = "aehtnx" + "é"
-    total = sum(math.exp(-cost(w)) for w in [""] + [a + b for a in letters for b in [""] + list(letters)])
-    assert 0 < total < 1
+    probe = [t.encode() for t in [*TEXTS, "cat the on sat", "zzz é \u4e16", "h" * 40 + " a", ""]]
+    model, cost = model_of(spark, TEXTS), brute_model([t.encode() for t in TEXTS])
+    got = model.text_costs(probe, [p.split() for p in probe], "+en")
+    assert np.allclose(got, [cost(p) for p in probe], rtol=1e-4)
+    model.items = None  # from the n-grams alone
+    assert np.allclose(Model.text_costs(model, probe, [p.split() for p in probe], "+en"), got, rtol=1e-4)
+
+
+def test_items(spark):
+    raw = b"ab c\n\nxyz hello  u"
+    keys, text = borders(raw, np.array([0, 6]))
+    flat, ends, first = border_items(keys)
+    items = [bytes(flat[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
+    assert items == [b"\xff ab ", b"\xffab c ", b"\xff xyz", b"xyz hel", b"llo u "] and text.tolist() == [0, 0, 1, 1, 1] and first.tolist() == [3, 5, 3, 5, 5]
+    assert len(borders(b"", np.zeros(1, np.int64))[0]) == 0 and len(borders(b" \n", np.array([0]))[0]) == 0
+
+
+def test_shuffled_words_cost_more(spark):
+    """Contexts cross the borders of words: an order that the corpus doesn't have is less likely."""
+    rng = random.Random(6)
+    verbs, things = ["sees", "takes", "holds", "finds"], ["stone", "river", "apple", "tower"]
+    line = lambda: f"she {rng.choice(verbs)} one {rng.choice(things)} of these"
+    texts = [" ".join(line() for _ in range(30)) for _ in range(40)]
+    model = model_of(spark, texts)
+    for t in texts[:10]:
+        words = t.split()
+        rng.shuffle(words)
+        fluent, mixed = (model.text_costs([x.encode()], [x.encode().split()], "+en")[0] for x in (t, " ".join(words)))
+        assert mixed > 1.15 * fluent
 
 
 def test_query_and_bands(spark, sf):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = op3_quality_rules(spark, sf).collect()
     assert len(got) == len(docs)
-    words = defaultdict(Counter)
-    for d in docs.values():
-        words[d.lang].update(d.text.split())
     for r in got:
         n = brute_figures(docs[r.doc_id].text)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == n
         assert r.base_failed == (n[0] < 50 or 100 * n[4] > 50 * n[0])
         assert r.kept == (not r.base_failed and r.low <= r.perplexity <= r.high)
-    cost = brute_model(words["es"], 5)
-    for r in [r for r in got if r.lang == "es"][:5]:
-        own = docs[r.doc_id].text.split()
-        assert abs(math.log(r.perplexity) - sum(map(cost, own)) / (r.word_chars + len(own))) < 1e-3
+    cost = brute_model([d.text.encode() for d in docs.values() if d.lang == "es"])
+    for r in [r for r in got if r.lang == "es" and r.n_words][:5]:
+        assert abs(math.log(r.perplexity) - cost(docs[r.doc_id].text.encode()) / (r.word_chars + r.n_words)) < 1e-3
 
 
 def test_odd_rows(spark):
@@ -111,3 +140,11 @@ def test_odd_rows(spark):
     got = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, kept int")).collect()
     assert sorted((r.doc_id or 0, r.n_words, r.base_failed, r.kept) for r in got) == [(0, 3, True, False), (1, 0, True, False), (2, 0, True, False), (3, 60, True, False), (3, 60, True, False), (5, 5000, False, True)]
     assert quality_rules(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_null_and_empty_language_are_two(spark):
+    texts = [" ".join(f"{a}{b}" for b in "xyzuvw" for a in "abcdefghij") for _ in range(2)]
+    both = [(1, texts[0], None), (2, texts[1], "")]
+    got = {r.doc_id: r.perplexity for r in quality_rules(spark.createDataFrame(both, "doc_id long, text string, lang string")).collect()}
+    alone = quality_rules(spark.createDataFrame(both[:1], "doc_id long, text string, lang string")).first().perplexity
+    assert abs(got[1] - alone) < 1e-6 and abs(got[2] - alone) < 1e-6
