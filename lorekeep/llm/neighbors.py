@@ -1,10 +1,11 @@
 """Near-duplicate vectors through a pivot-permutation index.
 
-A vector is described by its nearest pivots, in order; pivots are reference vectors from a bounded sample, apart from
-each other. Two vectors are candidates if they share at least two of their nearest pivots: the inverted list of each
-pair of pivots holds the vectors that have both. Lists with one vector are dropped by their count before any vector is
-moved; the others are compared in tiles of bounded size, each a matrix product, so a long list becomes many tasks. A
-linked pair is counted only in the list of its two lowest shared pivots. Tiles give counts and star links, not pairs.
+A vector is described by its nearest pivots, in order of nearness; pivots are reference vectors from a bounded sample,
+apart from each other. The inverted lists are kept for pairs of pivots: a vector is filed under each pair of its NEAREST
+pivots of which one is among its FIRST (its prefix), so two vectors meet if they share two pivots, one of them near the
+top of both orders. Lists with one vector are dropped by their count before any vector is moved; the others are compared in
+tiles of bounded size, each a matrix product, so a long list becomes many tasks. Of the lists that a linked pair shares,
+found from both orders, only the lowest counts it. Tiles give counts and star links, not pairs.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import materialize, read
+from lorekeep.llm.common import bounded, materialize, read
 from lorekeep.operators.graph import connected_components
 
 #: Pivots are picked from this many sampled vectors at most: SAMPLE bounds what the driver holds.
-SAMPLE, PIVOTS, NEAREST, TILE = 4_096, 512, 8, 1_024
+SAMPLE, PIVOTS, NEAREST, FIRST, TILE = 4_096, 512, 8, 4, 1_024
 
 
 def choose_pivots(sample: np.ndarray, pivots: int = PIVOTS, apart: float = 0.6) -> np.ndarray:
@@ -39,17 +40,45 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=-1, keepdims=True)
 
 
+def spare_pivots(dim: int) -> np.ndarray:
+    """Pivots for a length of vectors that the sample has missed."""
+    return _unit(np.random.default_rng(dim).normal(size=(64, dim)))
+
+
 def _nearest(pivots: dict[int, np.ndarray], nearest: int):
-    """(rep, near): the sorted numbers of the nearest pivots of each vector."""
+    """(rep, near): the numbers of the nearest pivots of each vector, the nearest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = [np.sort(np.argsort(-(pivots[len(v)] @ _unit(np.array(v))), kind="stable")[:nearest]).tolist() for v in b.column(1).to_pylist()]
+            near = []
+            for v in b.column(1).to_pylist():
+                known = pivots.get(len(v))
+                score = (spare_pivots(len(v)) if known is None else known) @ _unit(np.array(v))
+                near.append(np.argsort(-score, kind="stable")[:nearest].tolist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near, pa.list_(pa.int32()))], names=["rep", "near"])
 
     return run
 
 
+def shared_list(a: np.ndarray, b: np.ndarray, first: int) -> np.ndarray:
+    """For rows of pivots in order of nearness, the lowest pair of pivots under which both are filed, as two columns; for
+    rows of one pivot that and itself. -1 where there is none."""
+    order = np.argsort(a, axis=1)
+    a = np.take_along_axis(a, order, 1)
+    equal = a[:, :, None] == b[:, None, :]
+    shared, rank = equal.any(axis=2), equal.argmax(axis=2)
+    top = (order < first) & shared, (rank < first) & shared
+    out = np.full((len(a), 2), -1, np.int64)
+    if a.shape[1] == 1:
+        out[shared[:, 0]] = a[shared[:, 0]]
+        return out
+    for i in range(a.shape[1] - 2, -1, -1):  # from the highest pair down, so the lowest is written last
+        for j in range(a.shape[1] - 1, i, -1):
+            both = shared[:, i] & shared[:, j] & (top[0][:, i] | top[0][:, j]) & (top[1][:, i] | top[1][:, j])
+            out[both, 0], out[both, 1] = a[both, i], a[both, j]
+    return out
+
+
 def _star(linked: np.ndarray) -> np.ndarray:
     """The lowest row that each row of a symmetric boolean matrix reaches."""
     label = np.arange(len(linked))
@@ -61,14 +90,7 @@ def _star(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _compare(threshold: float):
-    def lowest_shared(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """Whether the two lowest pivots in both a and b are those of key."""
-        both = (a[:, :, None] == b[:, None, :]).any(axis=2)
-        seen = np.cumsum(both, axis=1)
-        need = len(key)
-        return (both & (seen <= need) & np.isin(a, key)).sum(axis=1) == need
-
+def _compare(threshold: float, first: int):
     def tile(rep, vec, weight, near, side, key) -> tuple[list, list, list]:
         left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
         hit = vec[left] @ vec[right].T >= threshold
@@ -77,7 +99,7 @@ def _compare(threshold: float):
         if not len(i):
             return [], [], []
         i, j = left[i], right[j]
-        own = np.concatenate([lowest_shared(near[i[k : k + 65536]], near[j[k : k + 65536]], key) for k in range(0, len(i), 65536)])
+        own = np.concatenate([(shared_list(near[i[k : k + 65536]], near[j[k : k + 65536]], first) == key).all(axis=1) for k in range(0, len(i), 65536)])
         i, j = i[own], j[own]
         count = np.bincount(i, weights=weight[j], minlength=len(rep)) + np.bincount(j, weights=weight[i], minlength=len(rep))
         linked = np.zeros((len(rep), len(rep)), bool)
@@ -104,7 +126,7 @@ def _compare(threshold: float):
                     continue
                 vec = flat[starts[a] : starts[b]].reshape(b - a, -1)
                 near = flat_near[at[a] : at[b]].reshape(b - a, -1)
-                key = np.array([ident[a, 1] >> 32, ident[a, 1] & 0xFFFFFFFF]) if near.shape[1] > 1 else near[0]
+                key = np.array([ident[a, 1] >> 32, ident[a, 1] & 0xFFFFFFFF])
                 same = ident[a, 2] == ident[a, 3]
                 side = np.zeros(b - a, int) if same else np.where(own[a:b] == ident[a, 2], -1, 1)
                 for have, new in zip(out, tile(reps[a:b], vec, weights[a:b], near, side, key), strict=True):
@@ -130,7 +152,7 @@ def _compare(threshold: float):
     return run
 
 
-def vector_links(rows: DataFrame, threshold: float = 0.93, pivots: int = PIVOTS, nearest: int = NEAREST, tile: int = TILE) -> DataFrame:
+def vector_links(rows: DataFrame, threshold: float = 0.93, pivots: int = PIVOTS, nearest: int = NEAREST, first: int = FIRST, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of rows(vec_id, embedding, label).
 
     Two rows are compared only if their labels are equal and not null, by cosine in double precision. A vector that is
@@ -153,13 +175,10 @@ def vector_links(rows: DataFrame, threshold: float = 0.93, pivots: int = PIVOTS,
     for r in sample:
         by_dim.setdefault(len(r.vec), []).append(r.vec)
     chosen = {d: choose_pivots(_unit(np.array(v)), pivots) for d, v in by_dim.items()}
-    for r in classes.select("dim").distinct().limit(1_000).collect():  # lengths that the sample has missed
-        chosen.setdefault(r.dim, _unit(np.random.default_rng(r.dim).normal(size=(64, r.dim))))
-    near = materialize(classes.select("rep", "vec").mapInArrow(_nearest(chosen, nearest), "rep long, near array<int>"), "vector-pivots")
-    pairs = F.expr(
-        "CASE WHEN size(near) = 1 THEN array(CAST(near[0] AS BIGINT)) ELSE flatten(transform(sequence(0, size(near) - 2), i ->"
-        " transform(sequence(i + 1, size(near) - 1), j -> shiftleft(CAST(near[i] AS BIGINT), 32) + near[j]))) END"
-    )
+    near = materialize(classes.select("rep", "vec").mapInArrow(bounded(_nearest(chosen, nearest)), "rep long, near array<int>"), "vector-pivots")
+    pair = "shiftleft(CAST(least(near[i], near[j]) AS BIGINT), 32) + greatest(near[i], near[j])"
+    ends = f"sequence(i + 1, size(near) - 1), j -> {pair}"  # i is the nearer one of the pair, so it decides
+    pairs = F.expr(f"CASE WHEN size(near) = 1 THEN array(shiftleft(CAST(near[0] AS BIGINT), 32) + near[0]) ELSE flatten(transform(sequence(0, least({first}, size(near) - 1) - 1), i -> transform({ends}))) END")
     listed = classes.select("rep", "label", "dim").join(near, "rep").select("rep", "label", "dim", F.explode(pairs).alias("list"))
     listed = listed.withColumn("n", F.count("*").over(Window.partitionBy("label", "dim", "list"))).where("n > 1")
     tiles = F.ceil(F.col("n") / tile).cast("int")
@@ -171,7 +190,7 @@ def vector_links(rows: DataFrame, threshold: float = 0.93, pivots: int = PIVOTS,
     moved = classes.join(near, "rep").withColumn("norm", F.sqrt(unit)).select("rep", "weight", "near", F.transform("vec", lambda x: x / F.col("norm")).alias("vec"))
     key = ["label", "dim", "list", "ti", "tj"]
     filled = listed.join(moved, "rep").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key)
-    found = materialize(filled.mapInArrow(_compare(threshold), "rep long, low long, links long"), "vector-links")
+    found = materialize(filled.mapInArrow(bounded(_compare(threshold, first)), "rep long, low long, links long"), "vector-links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = connected_components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")), "vector-stars")
     named = (

@@ -2,7 +2,9 @@
 
 import numpy as np
 
-from lorekeep.llm.neighbors import op8_neighbors, vector_links
+import pytest
+
+from lorekeep.llm.neighbors import FIRST, NEAREST, choose_pivots, op8_neighbors, shared_list, vector_links
 
 
 def brute(rows, threshold=0.93):
@@ -48,6 +50,51 @@ def test_recall_at_the_border_and_tiles(spark):
     assert small >= 0.9 * 240
 
 
+def pair_at(rng, dim, cosine):
+    a, u = rng.normal(size=(2, dim))
+    a /= np.linalg.norm(a)
+    u -= (u @ a) * a
+    return a, cosine * a + np.sqrt(1 - cosine * cosine) * u / np.linalg.norm(u)
+
+
+@pytest.mark.parametrize("dim", [64, 256, 768])
+def test_pairs_at_the_border_share_a_list(dim):
+    """Recall of the index itself, at the threshold, where it is least."""
+    rng = np.random.default_rng(dim)
+    pivots = choose_pivots(np.array([v / np.linalg.norm(v) for v in rng.normal(size=(1024, dim))]))
+    near = [np.argsort(-(pivots @ np.array(pair_at(rng, dim, 0.93)).T), axis=0)[:NEAREST].T for _ in range(3000)]
+    found = shared_list(np.array([n[0] for n in near]), np.array([n[1] for n in near]), FIRST)[:, 0] >= 0
+    print(dim, found.mean())
+    assert found.mean() > 0.98
+
+
+def test_shared_list_equals_brute_force():
+    rng = np.random.default_rng(1)
+    a, b = (np.array([rng.permutation(12)[:6] for _ in range(500)]) for _ in range(2))
+    for first in (1, 3, 6):
+        lists = lambda r: {(min(x, y), max(x, y)) for i, x in enumerate(r[:first]) for y in r[i + 1 :]}
+        want = [min(lists(x.tolist()) & lists(y.tolist()), default=(-1, -1)) for x, y in zip(a, b)]
+        assert list(map(tuple, shared_list(a, b, first).tolist())) == want
+
+
+def test_thousands_of_links(spark):
+    """Clusters of many sizes, pairs at the border, one dense label, repeated vectors: against brute force."""
+    rng, rows = np.random.default_rng(11), []
+    for i in range(700):
+        rows += [(v, 0) for v in pair_at(rng, 48, 0.931 + 0.068 * i / 700)]
+    for k in range(60):
+        centre = rng.normal(size=48)
+        rows += [(centre + rng.normal(size=48) * 0.2, 1 + k % 3) for _ in range(2 + k % 13)]
+    centre = rng.normal(size=48)
+    rows += [(centre + rng.normal(size=48) * 0.12, 7) for _ in range(300)] + [(centre, 7)] * 30
+    rows = [(i, v, k) for i, (v, k) in enumerate(rows)]
+    frame = spark.createDataFrame([(i, [float(x) for x in v], k) for i, v, k in rows], "vec_id long, embedding array<double>, label int")
+    want, got = brute(rows), {r.vec_id: (r.n_links, r.component_id) for r in vector_links(frame).collect()}
+    links = sum(n for n, _ in want.values())
+    assert links > 90_000 and sum(n for n, _ in got.values()) >= 0.98 * links and all(got[i][0] <= want[i][0] for i in want)
+    assert sum(got[i][1] == want[i][1] for i in want) >= 0.98 * len(want)
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1, 0), (2, [2.0, 0.0], 1, 0), (2, [2.0, 0.0], 1, 0), (3, [1.0, 0.0], None, 0), (4, None, 1, 0), (5, [0.0, 0.0], 1, 0),
