@@ -79,3 +79,52 @@ def valid_iso_date(text: Column | str) -> Column:
 def listen_url(base: str, episode: Column, start_ms: Column) -> Column:
     seconds = F.regexp_replace(F.regexp_replace((start_ms.cast("decimal(24,3)") / 1000).cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     return F.concat(F.lit(base.rstrip("/") + "/episodes/"), F.url_encode(episode), F.lit("?t="), seconds)
+
+
+def stage_fingerprint(stage: Column, source: Column, upstream: Column, model: Column, configuration: Column, version: Column) -> Column:
+    """The key of a stage's run: SHA-256 of canonical JSON. configuration is canonical JSON already, upstream an array in order.
+
+    A stage or version without text, and hashes that aren't SHA-256, raise.
+    """
+    text = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    sha = lambda c: c.rlike("^[0-9a-f]{64}$")
+    ok = (F.length(stage) > 0) & (F.length(version) > 0) & sha(source) & F.coalesce(sha(model), F.lit(True)) & F.forall(F.coalesce(upstream, F.array().cast("array<string>")), sha)
+    parts = F.concat(
+        F.lit('{"configuration":'), F.coalesce(configuration, F.lit("{}")), F.lit(',"model_fingerprint_sha256":'), F.when(model.isNull(), "null").otherwise(text(model)),
+        F.lit(',"pipeline_version":'), text(version), F.lit(',"source_sha256":'), text(source), F.lit(',"stage":'), text(stage), F.lit(',"upstream_artifact_hashes":'), F.to_json(F.coalesce(upstream, F.array().cast("array<string>"))), F.lit("}"),
+    )
+    return F.when(F.coalesce(ok, F.lit(False)), F.sha2(parts, 256)).otherwise(F.raise_error(F.lit("a stage's key needs a stage, a version and SHA-256 hashes")))
+
+
+_URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def point_id(name: Column) -> Column:
+    """The UUID of version 5 of a name in the URL namespace."""
+    h = F.sha1(F.concat(F.unhex(F.lit(_URL_NAMESPACE)), F.encode(name, "UTF-8")))
+    variant = F.substring(F.lit("89ab"), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def instant(text: Column, seconds: Column | None = None) -> Column:
+    """An ISO instant in UTC to the microsecond, seconds later; a text without an offset is in UTC."""
+    t = F.to_timestamp(text) if seconds is None else F.timestamp_add("SECOND", seconds, F.to_timestamp(text))
+    return F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+
+
+def difficulty(review: Column, degraded: Column, music: Column, rapid: Column, overlaps: Column, categories: Column, conflict: Column, end_reason: Column) -> Column:
+    """The strongest evidence that an interval is hard, other than from recognition itself."""
+    holds = lambda c: F.coalesce(c, F.lit(False))
+    return (
+        F.when(review.isin("bad", "awkward"), F.concat(F.lit("human_boundary_"), review)).when(holds(degraded), "chunk_condition_degraded").when(holds(music), "chunk_condition_music")
+        .when(holds(rapid), "chunk_condition_rapid_turn").when(holds(overlaps), "chunk_condition_overlap").when(holds(F.array_contains(categories, "music_containing")), "review_queue_music")
+        .when(holds(F.array_contains(categories, "overlap_containing")), "review_queue_overlap").when(holds(conflict), "boundary_overlap_conflict").when(end_reason == "hard_maximum", "hard_maximum").otherwise("no_difficulty_tag")
+    )
+
+
+def masked_tokens(text: Column, mask: Column) -> Column:
+    """The white-space tokens of text without those at the indices in mask; an index beyond them raises."""
+    found = tokens(text)
+    beyond = F.coalesce(F.array_max(mask) >= F.size(found), F.lit(False))
+    kept = F.filter(F.transform(found, lambda t, i: F.when(~F.array_contains(F.coalesce(mask, F.array().cast("array<int>")), i), t)), lambda t: t.isNotNull())
+    return F.when(beyond, F.raise_error(F.lit("a mask lies beyond the tokens")).cast("array<string>")).otherwise(kept)

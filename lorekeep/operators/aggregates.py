@@ -96,3 +96,44 @@ def class_means(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     g = rows.groupBy(*by, "class_id").agg(F.avg("p").alias("p"), F.count_distinct("label").alias("_labels"), F.min("label").alias("label"))
     same = F.when(F.col("_labels") == 1, F.col("label")).otherwise(F.raise_error(F.concat(F.lit("labels drift in class "), F.col("class_id").cast("string"))))
     return g.select(*by, "class_id", same.alias("label"), F.round("p", 6).alias("p"))
+
+
+#: Ends of the bins of chunk lengths in milliseconds (fixed values), besides exactly thirty seconds.
+BINS = (8_000, 10_000, 12_000, 14_000, 16_000, 18_000, 20_000, 25_000, 30_000)
+
+
+def chunk_distribution(chunks: DataFrame, by: Sequence[str], hard_ms: int = 30_000, short_ms: int = 4_000) -> DataFrame:
+    """One row for each group of chunks(start_ms, end_ms, reason, conflict): number, mean, upper median, p90, p95, nine bins,
+    shares in percent, and how many end at the hard maximum, in a conflict, or short at the recording's end."""
+    rows = chunks.withColumn("ms", F.col("end_ms") - F.col("start_ms"))
+    ms = F.col("ms")
+    bins = {f"bin_{a // 1000}_{b // 1000}": (ms >= a) & (ms < b) for a, b in zip(BINS, BINS[1:], strict=False)} | {"bin_30": ms == hard_ms}
+    shares = {"share_8_16": (ms >= 8_000) & (ms <= 16_000), "share_over_16": ms > 16_000, "share_30": ms == hard_ms}
+    counts = {"n_hard": F.col("reason") == "hard_maximum", "n_conflict": F.coalesce("conflict", F.lit(False)), "n_short_end": (F.col("reason") == "episode_end") & (ms < short_ms)}
+    counted = rows.groupBy(*by).agg(*[F.count_if(c).alias(n) for n, c in (bins | counts).items()], *[F.round(100 * F.count_if(c) / F.count("*"), 6).alias(n) for n, c in shares.items()])
+    return order_statistics(rows, by, "ms").join(counted, list(by))
+
+
+def reason_counts(chunks: DataFrame, by: Sequence[str], *columns: str) -> DataFrame:
+    """(by, what, value, n): how often each value of each column is; null values aren't counted."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).cast("string").alias("value")) for c in columns])
+    rows = chunks.select(*by, F.explode(pairs).alias("x")).select(*by, "x.*").where("value IS NOT NULL")
+    return rows.groupBy(*by, "what", "value").agg(F.count("*").alias("n"))
+
+
+def progress(rows: DataFrame, by: Sequence[str], done: Column) -> DataFrame:
+    """(by, done, total, left)."""
+    g = rows.groupBy(*by).agg(F.count_if(F.coalesce(done, F.lit(False))).alias("done"), F.count("*").alias("total"))
+    return g.withColumn("left", F.col("total") - F.col("done"))
+
+
+def dispatch_report(rows: DataFrame) -> DataFrame:
+    """(adapter, status, n, hypotheses, failed): dispatches by adapter and status, the number with a hypothesis (of those that
+    succeeded) and with an error. The ids themselves are rows of the input: where status = 'succeeded'."""
+    own = (F.col("status") == "succeeded") & F.col("hypothesis_id").isNotNull()
+    return rows.groupBy("adapter", "status").agg(F.count("*").alias("n"), F.count_if(own).alias("hypotheses"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+
+
+def voice_counts(exemplars: DataFrame) -> DataFrame:
+    """One row: exemplars, speakers with a centroid, episodes."""
+    return exemplars.agg(F.count("*").alias("exemplars"), F.count_distinct("episode", "speaker").alias("centroids"), F.count_distinct("episode").alias("episodes"))

@@ -123,3 +123,49 @@ def insert_identical(existing: DataFrame, new: DataFrame, key: Sequence[str]) ->
     old = existing.select(*key, mark.alias("_old"))
     joined = new.withColumn("_new", mark).join(old, list(key), "left")
     return joined.where("_old IS NULL").drop("_old", "_new"), joined.where("_old <> _new").drop("_old", "_new")
+
+
+def undo_decisions(decisions: DataFrame, undone: DataFrame) -> DataFrame:
+    """decisions(decision_id, a, b, decision, state, revision) with those of undone(decision_id, expected) superseded, a
+    revision on. A decision that is missing, not active or of another revision raises."""
+    rows = undone.join(decisions.select("decision_id", "state", "revision"), "decision_id", "left")
+    fits = F.coalesce((F.col("state") == "active") & (F.col("revision") == F.col("expected")), F.lit(False))
+    marks = rows.select(F.when(fits, F.col("decision_id")).otherwise(F.raise_error(F.concat(F.lit("decision is missing or stale: "), F.col("decision_id").cast("string")))).alias("decision_id"), F.lit(True).alias("_undone"))
+    gone = F.coalesce("_undone", F.lit(False))
+    joined = decisions.join(marks, "decision_id", "left")
+    joined = joined.withColumn("state", F.when(gone, "superseded").otherwise(F.col("state"))).withColumn("revision", F.col("revision") + gone.cast("int"))
+    return joined.select(decisions.columns)
+
+
+def split_members(decisions: DataFrame, separate: DataFrame) -> DataFrame:
+    """decisions with every active same_person link between separate(node) and the rest superseded, a revision on."""
+    ends = separate.select(F.col("node")).distinct()
+    inside = lambda d, c: d.join(ends.select(F.col("node").alias(c), F.lit(True).alias(f"_{c}")), c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", F.lit(False)))
+    rows = inside(inside(decisions, "a"), "b")
+    crossing = (F.col("decision") == "same_person") & (F.col("state") == "active") & (F.col("_a") != F.col("_b"))
+    rows = rows.withColumn("_cross", F.coalesce(crossing, F.lit(False)))
+    return rows.withColumn("revision", F.col("revision") + F.col("_cross").cast("int")).withColumn("state", F.when(F.col("_cross"), "superseded").otherwise(F.col("state"))).select(decisions.columns)
+
+
+def memberships(decisions: DataFrame) -> DataFrame:
+    """(node, component) of the active same_person decisions."""
+    return components(decisions.where("decision = 'same_person' AND state = 'active'").select("a", "b"))
+
+
+def mapping_states(rows: DataFrame, key: Sequence[str], artifact: str, order: Sequence[str]) -> DataFrame:
+    """rows with mapping_state: current for those of the artifact that was registered last for the key, others stale."""
+    last = rows.groupBy(*key).agg(F.max_by(artifact, F.struct(*order)).alias("_last"))
+    return rows.join(last, list(key)).withColumn("mapping_state", F.when(F.col(artifact) == F.col("_last"), "current").otherwise("stale")).drop("_last")
+
+
+def accepted_revisions(events: DataFrame, key: str, order: Sequence[str], expected: str) -> DataFrame:
+    """(key, order, expected, revision, accepted): writes that name the revision they expect, folded in order.
+
+    A write is accepted if it expects the revision in force (0 at first), and makes the next one.
+    """
+    logs = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(expected).cast("long").alias("_e")))).alias("log"))
+    first = F.struct(F.lit(0).cast("long").alias("rev"), F.array().cast("array<boolean>").alias("ok"))
+    step = lambda s, e: F.struct((s["rev"] + (e["_e"] == s["rev"]).cast("long")).alias("rev"), F.concat(s["ok"], F.array(e["_e"] == s["rev"])).alias("ok"))
+    rows = logs.select(key, "log", F.aggregate("log", first, step)["ok"].alias("ok")).select(key, F.explode(F.arrays_zip("log", "ok")).alias("x")).select(key, *[F.col(f"x.log.{c}").alias(c) for c in order], F.col("x.log._e").alias(expected), F.col("x.ok").alias("accepted"))
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("revision", F.sum(F.col("accepted").cast("long")).over(w))

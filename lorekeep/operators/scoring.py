@@ -25,17 +25,21 @@ def token_lists(words: DataFrame, by: list[str]) -> DataFrame:
     return g.select(*by, F.flatten(F.transform("w", lambda x: x["t"])).alias("tokens"))
 
 
-def speaker_maps(ref: DataFrame, hyp: DataFrame, bucket_ms: int) -> DataFrame:
-    """(source, hyp_label, ref_label): the one-to-one map of greatest common time; unmapped labels are left out."""
-    e = al.duration_events(ref, hyp, ["source"], "speaker", bucket_ms)
-    w = e.select("source", "ms", F.explode("ref").alias("r"), "hyp").select("source", "ms", "r", F.explode("hyp").alias("h")).groupBy("source", "r", "h").agg(F.sum("ms").alias("ms"))
-    kind = dict(ref.dtypes)["source"]
+def maps_of(events: DataFrame, by: list[str], kinds: dict[str, str]) -> DataFrame:
+    """(by, hyp_label, ref_label) from duration events: the one-to-one map of greatest common time; unmapped labels are left out."""
+    w = events.select(*by, "ms", F.explode("ref").alias("r"), "hyp").select(*by, "ms", "r", F.explode("hyp").alias("h")).groupBy(*by, "r", "h").agg(F.sum("ms").alias("ms"))
 
-    def choose(key: tuple, g: pd.DataFrame) -> pd.DataFrame:  # a row for each pair of labels of a source
+    def choose(key: tuple, g: pd.DataFrame) -> pd.DataFrame:  # a row for each pair of labels of a group
         found = al.speaker_map({(h, r): int(ms) for h, r, ms in g[["h", "r", "ms"]].itertuples(index=False)})
-        return pd.DataFrame([(key[0], h, r) for h, r in found.items() if r is not None], columns=["source", "hyp_label", "ref_label"])
+        return pd.DataFrame([(*key, h, r) for h, r in found.items() if r is not None], columns=[*by, "hyp_label", "ref_label"])
+
+    return w.groupBy(*by).applyInPandas(choose, ", ".join(f"{c} {kinds[c]}" for c in by) + ", hyp_label string, ref_label string")
 
-    return w.groupBy("source").applyInPandas(choose, f"source {kind}, hyp_label string, ref_label string")
+
+def speaker_maps(ref: DataFrame, hyp: DataFrame, bucket_ms: int) -> DataFrame:
+    """(source, hyp_label, ref_label) of all common time."""
+    events = al.duration_events(ref, hyp, ["source"], "speaker", bucket_ms)
+    return maps_of(events, ["source"], {"source": dict(ref.dtypes)["source"]})
 
 
 def diarization_scores(ref: DataFrame, hyp: DataFrame, maps: DataFrame, bucket_ms: int) -> DataFrame:

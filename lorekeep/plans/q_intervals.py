@@ -76,7 +76,7 @@ def f5_collar_ranges(spark, sf_dir):
     return iv.collar_ranges(t.where("kind = 'signup'"), regions, ["episode"], 250)
 
 
-def _segments_sql(source: str) -> str:
+def segments_sql(source: str) -> str:
     return f"""edges AS (SELECT DISTINCT episode, start_ms AS t FROM {source} UNION SELECT episode, end_ms FROM {source}),
 cells AS (SELECT * FROM (SELECT episode, t AS s, lead(t) OVER (PARTITION BY episode ORDER BY t) AS e FROM edges) WHERE e IS NOT NULL),
 sets AS (SELECT c.episode, s, e, string_agg(DISTINCT CAST(speaker AS VARCHAR), ',' ORDER BY CAST(speaker AS VARCHAR)) AS active, count(DISTINCT speaker) AS n
@@ -90,12 +90,12 @@ def _shown(df):
     return df.select("episode", "start_ms", "end_ms", F.array_join(F.array_sort(F.transform("active", lambda x: x.cast("string"))), ",").alias("active"))
 
 
-@query("f1_active_segments", f"WITH {turns_sql()}, {_segments_sql('turns')} SELECT episode, start_ms, end_ms, active FROM segs")
+@query("f1_active_segments", f"WITH {turns_sql()}, {segments_sql('turns')} SELECT episode, start_ms, end_ms, active FROM segs")
 def f1_active_segments(spark, sf_dir):
     return _shown(iv.segments(_t(spark, sf_dir), ["episode"], "speaker", BUCKET))
 
 
-@query("f2_overlaps", f"WITH {turns_sql()}, {_segments_sql('turns')} SELECT episode, start_ms, end_ms, active FROM segs WHERE n > 1")
+@query("f2_overlaps", f"WITH {turns_sql()}, {segments_sql('turns')} SELECT episode, start_ms, end_ms, active FROM segs WHERE n > 1")
 def f2_overlaps(spark, sf_dir):
     return _shown(iv.overlap_intervals(_t(spark, sf_dir), ["episode"], "speaker", BUCKET))
 
@@ -113,7 +113,7 @@ def f7_union_intersection(spark, sf_dir):
 
 @query(
     "f8_speaker_condition",
-    f"""WITH {turns_sql()}, {_segments_sql('turns')},
+    f"""WITH {turns_sql()}, {segments_sql('turns')},
 k AS (SELECT episode, count(DISTINCT speaker) AS labels FROM turns GROUP BY 1),
 g AS (SELECT episode, CAST(sum(end_ms - start_ms) AS BIGINT) AS speech_ms, CAST(sum(CASE WHEN n > 1 THEN end_ms - start_ms ELSE 0 END) AS BIGINT) AS overlap_ms, CAST(max(n) AS BIGINT) AS most FROM segs GROUP BY 1)
 SELECT episode, speech_ms, overlap_ms, most, labels, round(overlap_ms / CAST(speech_ms AS DOUBLE), 6) AS overlap_fraction,

@@ -371,3 +371,70 @@ def b6_insert_conflicts(spark, sf_dir):
 def n_ordered_page(spark, sf_dir):
     """The second page of a hundred: the limit is the page."""
     return table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(100).limit(100).select("o_orderkey", "o_totalprice")
+
+
+@query("i16_progress", "SELECT source, lang, count(*) FILTER (quality = 1) AS done, count(*) AS total, count(*) - count(*) FILTER (quality = 1) AS \"left\" FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL")
+def i16_progress(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return ag.progress(rows, ["source", "lang"], F.col("quality") == 1)
+
+
+@query(
+    "i18_dispatch_report",
+    f"""WITH {_EVENTS} SELECT user_id AS adapter, CASE event_type WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'queued' END AS status, count(*) AS n, count(*) FILTER (event_type = 'purchase' AND event_id % 5 > 0) AS hypotheses, count(*) FILTER (event_type = 'error') AS failed FROM ev GROUP BY ALL""",
+)
+def i18_dispatch_report(spark, sf_dir):
+    kind = F.col("event_type")
+    status = F.when(kind == "purchase", "succeeded").when(kind == "error", "failed").otherwise("queued")
+    rows = _events(spark, sf_dir).select(F.col("user_id").alias("adapter"), status.alias("status"), F.when(F.col("event_id") % 5 > 0, F.col("event_id")).alias("hypothesis_id"), F.when(kind == "error", kind).alias("error"))
+    return ag.dispatch_report(rows)
+
+
+@query("i15_voice_counts", "SELECT count(*) AS exemplars, count(DISTINCT (label, vec_id % 40)) AS centroids, count(DISTINCT label) AS episodes FROM embeddings")
+def i15_voice_counts(spark, sf_dir):
+    return ag.voice_counts(table(spark, sf_dir, "embeddings").select(F.col("label").alias("episode"), (F.col("vec_id") % 40).alias("speaker")))
+
+
+_DECISIONS = """d AS (SELECT o_orderkey AS decision_id, o_custkey AS a, o_custkey // 3 + 1000000 AS b, CASE WHEN o_orderkey % 5 = 0 THEN 'different' ELSE 'same_person' END AS decision, CASE WHEN o_orderkey % 7 = 0 THEN 'superseded' ELSE 'active' END AS state, CAST(o_orderkey % 3 AS INTEGER) AS revision FROM orders WHERE o_orderstatus = 'P')"""
+
+
+def _decisions(spark, sf_dir):
+    i = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(
+        i.alias("decision_id"), F.col("o_custkey").alias("a"), F.expr("o_custkey div 3 + 1000000").alias("b"), F.when(i % 5 == 0, "different").otherwise("same_person").alias("decision"),
+        F.when(i % 7 == 0, "superseded").otherwise("active").alias("state"), (i % 3).cast("int").alias("revision"),
+    )
+
+
+@query("m3_undo", f"WITH {_DECISIONS} SELECT decision_id, a, b, decision, CASE WHEN state = 'active' AND decision_id % 11 = 0 THEN 'superseded' ELSE state END AS state, revision + CASE WHEN state = 'active' AND decision_id % 11 = 0 THEN 1 ELSE 0 END AS revision FROM d")
+def m3_undo(spark, sf_dir):
+    d = _decisions(spark, sf_dir)
+    return hi.undo_decisions(d, d.where("state = 'active' AND decision_id % 11 = 0").select("decision_id", F.col("revision").alias("expected")))
+
+
+@query(
+    "m3_split",
+    f"""WITH RECURSIVE {_DECISIONS}, e AS (SELECT DISTINCT a, b FROM d WHERE decision = 'same_person' AND state = 'active' AND a % 4 > 0), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, c) AS (SELECT a, a FROM both_ UNION SELECT both_.b, r.c FROM r JOIN both_ ON both_.a = r.node) SELECT node, min(c) AS component FROM r GROUP BY 1""",
+)
+def m3_split(spark, sf_dir):
+    """Customers whose key divides by four are split from their groups; then the memberships are built anew."""
+    d = _decisions(spark, sf_dir)
+    return hi.memberships(hi.split_members(d, d.where("a % 4 = 0").select(F.col("a").alias("node"))))
+
+
+@query("m4_mapping_states", f"WITH {_EVENTS}, l AS (SELECT user_id, arg_max(event_type, (t, event_id)) AS last FROM ev GROUP BY 1) SELECT event_id, user_id, event_type, CASE WHEN event_type = last THEN 'current' ELSE 'stale' END AS mapping_state FROM ev JOIN l USING (user_id)")
+def m4_mapping_states(spark, sf_dir):
+    return hi.mapping_states(_events(spark, sf_dir), ["user_id"], "event_type", ["t", "event_id"]).select("event_id", "user_id", "event_type", "mapping_state")
+
+
+@query(
+    "m5_revisions",
+    f"""WITH RECURSIVE {_EVENTS}, n AS (SELECT user_id, t, event_id AS seq, event_id % 3 + event_id % 2 AS expected, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS k FROM ev),
+f(user_id, k, t, seq, expected, accepted, revision) AS (SELECT user_id, k, t, seq, expected, expected = 0, CASE WHEN expected = 0 THEN 1 ELSE 0 END FROM n WHERE k = 1
+  UNION ALL SELECT n.user_id, n.k, n.t, n.seq, n.expected, n.expected = f.revision, f.revision + CASE WHEN n.expected = f.revision THEN 1 ELSE 0 END FROM f JOIN n ON n.user_id = f.user_id AND n.k = f.k + 1)
+SELECT user_id, t, seq, expected, accepted, CAST(revision AS BIGINT) AS revision FROM f""",
+)
+def m5_revisions(spark, sf_dir):
+    e = _events(spark, sf_dir).select("user_id", "t", F.col("event_id").alias("seq"), (F.col("event_id") % 3 + F.col("event_id") % 2).alias("expected"))
+    return hi.accepted_revisions(e, "user_id", ["t", "seq"], "expected")
