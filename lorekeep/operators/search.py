@@ -1,12 +1,18 @@
-"""Lexical retrieval: an inverted index of tokens, phrase match, BM25 and snippets."""
+"""Lexical retrieval: an inverted index of tokens, kept as a table and pruned by token, phrase match, BM25 and snippets."""
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lorekeep.functions.work import new_path
+
+#: Folders of an index by hash of the token; parts of a folder by hash of the document, so a frequent token is many files.
+BUCKETS, SPREAD = 64, 8
+
 K1, B = 1.2, 0.75
 MOST_CHARS, MOST_TERMS, SNIPPET = 256, 20, 28
 
@@ -45,30 +51,99 @@ def term_frequencies(index: DataFrame, terms: list[list[str]]) -> DataFrame:
     return starts.where(F.col("n") == size).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, query: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score) of documents with all terms; more negative is better, as the usual full-text engines sort.
+@dataclass(frozen=True)
+class Index:
+    """postings(doc_id, pos, token, bucket) and sizes(doc_id, dl), the number of documents and their mean length."""
+
+    postings: DataFrame
+    sizes: DataFrame
+    n_docs: int
+    mean_length: float
+
+    def of(self, words: list[str]) -> DataFrame:
+        """The postings of these tokens: their buckets alone are read."""
+        spark = self.postings.sparkSession
+        buckets = [r[0] for r in spark.createDataFrame([(w,) for w in words], "token string").select(_bucket()).distinct().collect()] if "bucket" in self.postings.columns else None
+        rows = self.postings if buckets is None else self.postings.where(F.col("bucket").isin(buckets))
+        return rows.where(F.col("token").isin(words)).select("doc_id", "pos", "token")
+
+
+def _bucket():
+    return F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def _sizes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("doc_id"), F.expr(f"CAST(size(filter(split(lower({text}), '[^\\\\p{{L}}\\\\p{{N}}]+'), x -> x <> '')) AS BIGINT)").alias("dl"))
+
+
+def build_index(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text") -> None:
+    """Write the index of docs: postings in folders by bucket, sorted by token, and the documents' lengths."""
+    rows = tokens(docs, doc_id, text).select("*", _bucket())
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "token", "doc_id", "pos")
+    _sizes(docs, doc_id, text).write.parquet(f"{folder}/sizes")
+    rows.write.partitionBy("bucket").parquet(f"{folder}/postings")
+
+
+def open_index(spark: SparkSession, folder: str) -> Index:
+    sizes = spark.read.parquet(f"{folder}/sizes")
+    total = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("m")).first()
+    postings = spark.read.schema("doc_id long, pos int, token string, bucket int").parquet(f"{folder}/postings")
+    return Index(postings, sizes, total.n, total.m or 0.0)
 
-    idf is ln((N - n + 0.5) / (n + 0.5)), at least 1e-6; a phrase counts as one term.
+
+def index_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
+    """The index of docs as they are, without a table: for small or passing sets of documents."""
+    sizes = _sizes(docs, doc_id, text)
+    total = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("m")).first()
+    return Index(tokens(docs, doc_id, text), sizes, total.n, total.m or 0.0)
+
+
+_BUILT: dict[tuple, Index] = {}
+
+
+def kept_index(docs: DataFrame) -> Index:
+    """The index of a table in files, built once in the shared folder for each state of its files (names, sizes and times)."""
+    spark = docs.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def state(name: str) -> tuple:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        found = path.getFileSystem(conf).getFileStatus(path)
+        return name, found.getLen(), found.getModificationTime()
+
+    key = (spark.sparkContext.applicationId, *sorted(map(state, docs.inputFiles())))
+    if key not in _BUILT:
+        folder = new_path(spark, "index")
+        build_index(docs, folder)
+        _BUILT[key] = open_index(spark, folder)
+    return _BUILT[key]
+
+
+def bm25(index: Index, query: str, where: DataFrame | None = None) -> DataFrame:
+    """(doc_id, score) of documents with all terms, of those in where(doc_id) if given; more negative is better, as the
+    usual full-text engines sort.
+
+    idf is ln((N - n + 0.5) / (n + 0.5)), at least 1e-6, over all documents; a phrase counts as one term.
     """
     terms = parse_query(query)
-    sizes = docs.select(F.col(doc_id).alias("doc_id"), F.expr(f"CAST(size(filter(split(lower({text}), '[^\\\\p{{L}}\\\\p{{N}}]+'), x -> x <> '')) AS BIGINT)").alias("dl"))
-    total = sizes.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    tf = term_frequencies(tokens(docs, doc_id, text), terms)
+    tf = term_frequencies(index.of(sorted({w for t in terms for w in t})), terms)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     every = tf.withColumn("terms", F.count("*").over(Window.partitionBy("doc_id"))).where(F.col("terms") == len(terms))
-    rows = every.join(F.broadcast(df), "term").join(sizes, "doc_id").join(F.broadcast(total))  # df has 20 rows at most, total one
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    if where is not None:
+        every = every.join(where.select("doc_id"), "doc_id", "left_semi")
+    rows = every.join(F.broadcast(df), "term").join(index.sizes, "doc_id")  # df has 20 rows at most
+    idf = F.greatest(F.lit(1e-6), F.log((F.lit(float(index.n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(index.mean_length or 1.0))))
     return rows.groupBy("doc_id").agg((-F.sum(part)).alias("score"))
 
 
-def search(docs: DataFrame, query: str, limit: int = 20, offset: int = 0, where=None) -> DataFrame:
-    """doc_id, score of one page of results by (score, doc_id); the filter comes before the page."""
+def search(docs: DataFrame, query: str, limit: int = 20, offset: int = 0, where=None, index: Index | None = None) -> DataFrame:
+    """doc_id, score of one page of results by (score, doc_id); the filter comes before scoring and the page."""
     if not (1 <= limit <= 100 and 0 <= offset <= 10_000):
         raise ValueError("limit is 1 to 100, offset 0 to 10,000")
-    found = bm25(docs, query)
-    if where is not None:
-        found = found.join(docs.where(where).select("doc_id"), "doc_id", "left_semi")
+    parse_query(query)
+    found = bm25(index or index_of(docs), query, None if where is None else docs.where(where))
     found = found.select("doc_id", F.round("score", 6).alias("score"))
     return found.orderBy("score", "doc_id").offset(offset).limit(limit)
 

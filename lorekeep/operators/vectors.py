@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,18 +34,54 @@ def centroids(rows: DataFrame, by: list[str], vector: str = "embedding") -> Data
     return g.select(*by, "n", l2_normalize(F.transform("parts", lambda p: p["x"])).alias("centroid"))
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+#: Query vectors that are sent to the rows at once, and rows of a product.
+QUERIES, PRODUCT = 20_000, 4_096
+
+
+def _best_of(queries, k: int):
+    """The k best rows of a task for each query of a block: matrix products, of which only those k are kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, groups, vectors = queries.value
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * len(ids)
+        for b in (b.slice(i, PRODUCT) for b in batches for i in range(0, b.num_rows, PRODUCT)):
+            rows, own = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
+            scores = np.round(vectors @ np.array(b.column(2).to_pylist()).T, 9)
+            scores[groups[:, None] == own[None, :]] = -np.inf
+            least = np.partition(scores, -k, axis=1)[:, -k] if len(rows) > k else np.full(len(ids), -np.inf)
+            for q in range(len(ids)):
+                held = best[q][0]
+                at = np.flatnonzero((scores[q] >= least[q]) & (scores[q] > -np.inf) & (len(held) < k or scores[q] >= held[-1]))
+                if len(at):
+                    s, r = np.concatenate((held, scores[q, at])), np.concatenate((best[q][1], rows[at]))
+                    order = np.lexsort((r, -s))[:k]
+                    best[q] = s[order], r[order]
+        size = [len(s) for s, _ in best]
+        if sum(size):
+            columns = [pa.array(np.repeat(ids, size)), pa.array(np.concatenate([r for _, r in best])), pa.array(np.concatenate([s for s, _ in best]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "row_id", "score"])
+
+    return run
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = QUERIES) -> DataFrame:
     """(query_id, row_id, score, rank): the k rows of the highest cosine for each query, but of other groups.
 
-    queries(query_id, query_group, query_vector) is a stated set and is sent to the rows; each row keeps, for each
-    query, one score, and k are kept by query in two steps: in each part of the rows, then among the parts' best.
+    queries(query_id, query_group, query_vector) and rows(row_id, row_group, row_vector) hold unit vectors of one length,
+    and integer ids and groups; a null vector is near to nothing. The queries go to the rows in blocks of bounded size, one
+    pass over the rows for each; a task keeps k rows for each query, and of those the best k are chosen.
     """
-    pairs = rows.join(F.broadcast(queries), F.col("row_group") != F.col("query_group"))
-    scored = pairs.select("query_id", "row_id", F.round(dot("query_vector", "row_vector"), 9).alias("score"), F.pmod(F.xxhash64("row_id"), F.lit(16)).alias("part"))
-    order = [F.desc("score"), F.asc("row_id")]
-    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).where(F.col("r") <= k)
-    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
-    return best.select("query_id", "row_id", "score", "rank")
+    spark, found = queries.sparkSession, None
+    stated = queries.where("query_vector IS NOT NULL").select(F.col("query_id").cast("long"), F.col("query_group").cast("long"), "query_vector")
+    blocks = max(1, -(-stated.count() // block))
+    some = rows.where("row_vector IS NOT NULL AND row_group IS NOT NULL").select(F.col("row_id").cast("long"), F.col("row_group").cast("long"), F.col("row_vector").cast("array<double>"))
+    for n in range(blocks):
+        part = stated.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).collect()  # about `block` rows
+        sent = spark.sparkContext.broadcast((np.array([r.query_id for r in part], np.int64), np.array([r.query_group for r in part], np.int64), np.array([r.query_vector for r in part], float).reshape(len(part), -1)))
+        one = some.mapInArrow(_best_of(sent, k), "query_id long, row_id long, score double") if part else spark.createDataFrame([], "query_id long, row_id long, score double")
+        found = one if found is None else found.unionByName(one)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("row_id"))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "row_id", "score", "rank")
 
 
 def greedy_pairs(scores: np.ndarray, query_ids: list, row_ids: list) -> list[tuple]:

@@ -43,12 +43,13 @@ scored AS (SELECT doc_id, -sum(greatest(1e-6, ln((n_docs - df + 0.5) / (df + 0.5
 @query("d4_bm25_search", _bm25([["the"], ["of", "the"]], "SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY 2, 1 LIMIT 20"))
 def d4_bm25_search(spark, sf_dir):
     """A page of ranked results: the limit is the operator's page."""
-    return search.search(table(spark, sf_dir, "documents"), 'the "of the"', 20)
+    docs = table(spark, sf_dir, "documents")
+    return search.search(docs, 'the "of the"', 20, index=search.kept_index(docs))
 
 
 @query("d2_bm25_scores", _bm25([["and"], ["that"]], "SELECT doc_id, round(score, 6) AS score FROM scored"))
 def d2_bm25_scores(spark, sf_dir):
-    return search.bm25(table(spark, sf_dir, "documents"), "and that").select("doc_id", F.round("score", 6).alias("score"))
+    return search.bm25(search.kept_index(table(spark, sf_dir, "documents")), "and that").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -56,7 +57,8 @@ def d2_bm25_scores(spark, sf_dir):
     _bm25([["la"]], "SELECT doc_id, round(score, 6) AS score FROM scored WHERE doc_id IN (SELECT doc_id FROM documents WHERE source = 'src3') ORDER BY 2, 1 LIMIT 10 OFFSET 2"),
 )
 def d4_filtered_search(spark, sf_dir):
-    return search.search(table(spark, sf_dir, "documents"), "la", 10, 2, F.col("source") == "src3")
+    docs = table(spark, sf_dir, "documents")
+    return search.search(docs, "la", 10, 2, F.col("source") == "src3", search.kept_index(docs))
 
 
 @query(
@@ -65,7 +67,7 @@ def d4_filtered_search(spark, sf_dir):
 WHERE a.token = 'in' AND b.token = 'the' GROUP BY a.doc_id""",
 )
 def d1_phrase_match(spark, sf_dir):
-    found = search.term_frequencies(search.tokens(table(spark, sf_dir, "documents")), [["in", "the"]])
+    found = search.term_frequencies(search.kept_index(table(spark, sf_dir, "documents")).of(["in", "the"]), [["in", "the"]])
     return found.select("doc_id", F.col("tf").cast("long").alias("tf"))
 
 
