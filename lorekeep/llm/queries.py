@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from lorekeep.llm.html import op5_html
 from lorekeep.llm.mixing import op7_mixing
+from lorekeep.llm.negatives import NEGATIVES, op13_hard_negatives
 from lorekeep.llm.neighbors import op8_neighbors
 from lorekeep.llm.packing import op1_packing
 from lorekeep.llm.perplexity import op3_quality_rules
+from lorekeep.llm.phrases import PHRASES, op11_phrases
 from lorekeep.llm.pii import op9_pii
 from lorekeep.llm.quality import op2_quality_classifier
+from lorekeep.llm.reputation import URLS, op12_url_filter
 from lorekeep.llm.simhash import op10_simhash
 from lorekeep.llm.tokens import op4_token_ids
 from lorekeep.llm.warc import op6_warc
@@ -26,6 +29,9 @@ def queries() -> dict:
         "op8_neighbors": op8_neighbors,
         "op9_pii": op9_pii,
         "op10_simhash": op10_simhash,
+        "op11_phrases": op11_phrases,
+        "op12_url_filter": op12_url_filter,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -47,4 +53,4 @@ SELECT node AS vec_id, coalesce(n, 0) AS n_links, c AS component_id, node = c AS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": _WARC, "op8_neighbors": _LINKS}
+    return {"op6_warc": _WARC, "op8_neighbors": _LINKS, "op11_phrases": PHRASES, "op12_url_filter": URLS, "op13_hard_negatives": NEGATIVES}
