@@ -22,6 +22,8 @@ from lorekeep.llm.common import bounded, materialize, read, small
 
 #: Words of a shard: SHARD at least, unless its task has fewer, and under twice as many. BITS (a power of two) of the filter.
 SHARD, BITS = 1 << 23, 1 << 27
+#: Places in a shard that are sorted at a time.
+PART = 1 << 20
 PROBES, MIX = 4, np.uint64(0x9E3779B97F4A7C15)
 FOUND = "lang string, words int, phrase string, n long"
 
@@ -91,24 +93,28 @@ def grow(ids: np.ndarray, first: np.ndarray, vocabulary: pa.Array, lang: str, ke
     names = vocabulary.take(pa.array(kept))
     yield 1, names, counts[kept]
     for n in range(2, most + 1):
-        start = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0) & ~first[1:])
-        if not len(start):
+        start = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0) & ~first[1:]).astype(np.int32)
+        parts = -(-len(start) // PART)
+        share = ((at[start] + ids[start + n - 1].astype(np.int64) * 7) % max(parts, 1)).astype(np.int16)
+        here, found = np.full(len(at), -1, np.int32), [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
+        taken = 0
+        for p in range(parts):  # equal phrases are in one part, so only a part's codes are sorted at a time
+            own = start[share == p]
+            codes, back, counts = np.unique(at[own].astype(np.int64) * size + ids[own + n - 1], return_inverse=True, return_counts=True)
+            before, last = codes // size, codes % size
+            new = _next_hash(level[before], hashes[last])
+            kept = np.flatnonzero(keep(new, counts))
+            place = np.full(len(codes), -1, np.int32)
+            place[kept] = np.arange(taken, taken + len(kept), dtype=np.int32)
+            here[own] = place[back]
+            taken += len(kept)
+            found.append((new[kept], before[kept], last[kept], counts[kept]))
+        if not taken:
             return
-        codes = at[start].astype(np.int64) * size + ids[start + n - 1]
-        codes, back, counts = np.unique(codes, return_inverse=True, return_counts=True)
-        before, last = codes // size, codes % size
-        new = _next_hash(level[before], hashes[last])
-        taken = keep(new, counts)
-        kept = np.flatnonzero(taken)
-        if not len(kept):
-            return
-        place = np.full(len(codes), -1, np.int32)
-        place[kept] = np.arange(len(kept), dtype=np.int32)
-        here = np.full(len(at), -1, np.int32)
-        here[start] = place[back]
-        names = pc.binary_join_element_wise(names.take(pa.array(before[kept])), vocabulary.take(pa.array(last[kept])), " ")
-        level, at = new[kept], here
-        yield n, names, counts[kept]
+        level, before, last, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+        names = pc.binary_join_element_wise(names.take(pa.array(before)), vocabulary.take(pa.array(last)), " ")
+        at = here
+        yield n, names, counts
 
 
 def _shards(batches: Iterator[pa.RecordBatch], shard: int) -> Iterator[tuple[str, int, np.ndarray, np.ndarray, pa.Array]]:
