@@ -76,9 +76,33 @@ def valid_iso_date(text: Column | str) -> Column:
     return F.coalesce(F.date_format(F.try_to_timestamp(text, F.lit("yyyy-MM-dd")), "yyyy-MM-dd") == text, F.lit(False))
 
 
+def six_digits(ms: Column) -> Column:
+    """Milliseconds as seconds with six significant digits, as C's %g writes a double of them: no zeros at the end, halves
+    by what the double is exactly, and an exponent from a million seconds on. Negative times raise."""
+    ms = F.when(ms >= 0, ms.cast("long")).when(ms < 0, F.raise_error(F.lit("a time is negative")).cast("long"))
+    drop = F.when(ms < 1_000_000, 0).otherwise(F.length(ms.cast("string")) - 6)  # digits that are rounded away
+    unit = F.pow(F.lit(10.0), drop).cast("long")
+    whole, rest = F.floor(ms / unit), F.pmod(ms, unit)
+    # twice a double's exact value in units of 2^-43 (2^-33 from a million seconds on) is a whole number
+    shift = F.when(ms < 1_000_000_000, F.lit(1 << 43)).otherwise(F.lit(1 << 33))
+    exact = ((ms / F.lit(1000.0)) * shift).cast("long").cast("decimal(19,0)") * F.lit(1000).cast("decimal(4,0)")
+    asked = ms.cast("decimal(13,0)") * shift.cast("decimal(14,0)")
+    half = 2 * rest == unit
+    up = (2 * rest > unit) | (half & ((exact > asked) | ((exact == asked) & (F.pmod(whole, F.lit(2)) == 1))))
+    n = whole + up.cast("long")
+    trim = lambda c: F.regexp_replace(F.regexp_replace(c, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    plain = trim(((n * unit).cast("decimal(24,3)") / 1000).cast("string"))
+    power = F.length((n * unit).cast("string")) - 4
+    mantissa = trim((n.cast("decimal(24,6)") / F.pow(F.lit(10), F.length(n.cast("string")) - 1).cast("decimal(24,0)")).cast("string"))
+    return F.when(n * unit < 1_000_000_000, plain).otherwise(F.concat(mantissa, F.lit("e+"), F.lpad(power.cast("string"), 2, "0")))
+
+
 def listen_url(base: str, episode: Column, start_ms: Column) -> Column:
-    seconds = F.regexp_replace(F.regexp_replace((start_ms.cast("decimal(24,3)") / 1000).cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.concat(F.lit(base.rstrip("/") + "/episodes/"), F.url_encode(episode), F.lit("?t="), seconds)
+    """Where to listen: the episode percent-encoded but for letters, digits and _ . - ~, and the second, by six_digits()."""
+    name = F.url_encode(episode)
+    for a, b in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        name = F.replace(name, F.lit(a), F.lit(b))
+    return F.concat(F.lit(base.rstrip("/") + "/episodes/"), name, F.lit("?t="), six_digits(start_ms))
 
 
 def stage_fingerprint(stage: Column, source: Column, upstream: Column, model: Column, configuration: Column, version: Column) -> Column:

@@ -9,10 +9,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
 #: Cells of a block that is traced back directly (fixed value); a larger one is halved.
@@ -107,38 +107,165 @@ def edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
     return ops["substitute"], ops["delete"], ops["insert"]
 
 
-@F.pandas_udf(StructType([StructField(c, LongType()) for c in ("substitutions", "deletions", "insertions")]))
-def edit_counts_udf(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    rows = [edit_counts(list(a), list(b)) for a, b in zip(ref, hyp, strict=True)]
-    return pd.DataFrame(rows, columns=["substitutions", "deletions", "insertions"])
-
-
-def orc_errors(streams: list[list[str]], hyp: list[str]) -> tuple[int, int, int, int]:
-    """Least (errors, S, D, I) of the hypothesis against any interleaving of the reference streams."""
-    shape = tuple(len(s) + 1 for s in streams)
-    best: dict[tuple, list] = {}
-    for at in np.ndindex(shape):
-        row: list = [None] * (len(hyp) + 1)
-        for j in range(len(hyp) + 1):
-            if j == 0 and not any(at):
-                row[0] = (0, 0, 0, 0)
-                continue
-            options = []
-            if j:
-                e, s, d, i = row[j - 1]
-                options.append((e + 1, s, d, i + 1))
-            for k, p in enumerate(at):
-                if p:
-                    back = best[at[:k] + (p - 1,) + at[k + 1 :]]
-                    e, s, d, i = back[j]
-                    options.append((e + 1, s, d + 1, i))
-                    if j:
-                        e, s, d, i = back[j - 1]
-                        miss = streams[k][p - 1] != hyp[j - 1]
-                        options.append((e + miss, s + miss, d, i))
-            row[j] = min(options)
-        best[at] = row
-    return best[tuple(n - 1 for n in shape)][len(hyp)]
+COUNTS = StructType([StructField(c, LongType()) for c in ("substitutions", "deletions", "insertions")])
+
+
+def with_edit_counts(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """rows with a struct of counts for each name of pairs, whose value names two columns of token lists; null is no tokens.
+
+    One pass over Arrow batches that carries the other columns along, so the result is a plain table: any aggregate,
+    join or filter may follow.
+    """
+    at = {n: (rows.columns.index(r), rows.columns.index(h)) for n, (r, h) in pairs.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = []
+            for i, j in at.values():
+                counts = [edit_counts(r or [], h or []) for r, h in zip(b.column(i).to_pylist(), b.column(j).to_pylist(), strict=True)]
+                parts = list(zip(*counts, strict=True)) or [(), (), ()]
+                made.append(pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in parts], names=COUNTS.names))
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, *at])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *[StructField(n, COUNTS) for n in pairs]]))
+
+
+@F.udtf(returnType="op string, i int, j int")
+class EditOps:
+    """Table function edit_ops(ref, hyp): the operations of a least-cost alignment in order, with the places of both sides
+    (of a deletion, the place in hyp before which it falls; of an insertion, that in ref). Null lists are empty."""
+
+    def eval(self, ref: list, hyp: list) -> Iterator[tuple]:
+        yield from align(list(ref or []), list(hyp or []))
+
+
+def register_edit_ops(spark: SparkSession) -> None:
+    """Makes edit_ops known to SQL: SELECT ... FROM t, LATERAL edit_ops(t.ref, t.hyp)."""
+    spark.udtf.register("edit_ops", EditOps)
+
+
+#: Cells (places of the streams times the width of the band) beyond which an interleaving isn't searched for.
+ORC_CELLS = 40_000_000
+_FAR = 1 << 60
+
+
+def _least_errors(streams: list[list[str]], hyp: list[str]) -> int:
+    """No interleaving has fewer errors: words that one side lacks, and for each stream what of it can't be aligned at all."""
+    common = sum((Counter(w for s in streams for w in s) & Counter(hyp)).values())
+    total = sum(map(len, streams))
+    longest = max((len(s) for s in streams), default=0)
+    own = max((int(_last_row(*_numbered(s, hyp))[-1]) - (len(hyp) - len(s)) for s in streams if len(s) == longest and len(hyp) >= len(s)), default=0) if hyp else 0
+    return max(max(total, len(hyp)) - common, abs(total - len(hyp)), own // 2)
+
+
+def _numbered(a: list[str], b: list[str]) -> tuple[list[int], list[int]]:
+    ids: dict[str, int] = {}
+    return [ids.setdefault(x, len(ids)) for x in a], [ids.setdefault(x, len(ids)) for x in b]
+
+
+def orc_errors(streams: list[list[str]], hyp: list[str], cells: int = ORC_CELLS) -> tuple[int, int, int, int] | None:
+    """Least (errors, S, D, I) of the hypothesis against any interleaving of the reference streams; None if it would take
+    more than `cells` cells.
+
+    The lattice of places in the streams is walked with the longest stream outermost, and two layers of it are held. At
+    each place a row holds the costs by how far the hypothesis is ahead of the streams. An alignment with at most E errors
+    is never further ahead or behind than E allows, so rows are bands: E starts at a lower bound and doubles until the
+    result is within it, which then is the least of all.
+    """
+    streams = sorted((s for s in streams if s), key=len, reverse=True)
+    total, m = sum(map(len, streams)), len(hyp)
+    if not streams:
+        return m, 0, 0, m
+    ids: dict[str, int] = {}
+    told = [np.array([ids.setdefault(w, len(ids)) for w in s]) for s in streams]
+    heard = np.array([ids.get(w, -1) for w in hyp], np.int64).reshape(-1)
+    places = int(np.prod([len(s) + 1 for s in streams], dtype=object))
+    limit = max(_least_errors(streams, hyp), 1)
+    most = max(total, m)
+    while True:
+        limit = min(limit, most)
+        # ahead by d at a place: at least |d| errors before it and |(m - total) - d| after it
+        low, high = -((limit - (m - total)) // 2), (limit + (m - total)) // 2
+        low, high = min(low, 0, m - total), max(high, 0, m - total)
+        if places * (high - low + 1) > cells:
+            return None
+        cost = _band(told, heard, total, m, low, high)
+        errors, substitutions = cost // _UNIT, cost % _UNIT
+        if errors <= limit:
+            both = errors - substitutions
+            deletions = (both + total - m) // 2
+            return int(errors), int(substitutions), int(deletions), int(both - deletions)
+        limit = 2 * limit
+
+
+#: An error costs this much, a substitution one more: so of equally many errors fewer substitutions are less.
+_UNIT = 1 << 32
+
+
+def _band(streams: list[np.ndarray], hyp: np.ndarray, total: int, m: int, low: int, high: int) -> int:
+    width = high - low + 1
+    ahead = np.arange(low, high + 1)
+    padded = np.full(total + m + 2 * width + 4, -2, np.int64)
+    base = width + 2
+    padded[base + 1 : base + 1 + m] = hyp  # padded[base + j] is the word that ends at place j of the hypothesis
+    inner = [len(s) + 1 for s in streams[1:]]
+    step = np.ones(len(inner), int)
+    for k in range(len(inner) - 2, -1, -1):
+        step[k] = step[k + 1] * inner[k + 1]
+    spots = [(sum(at), at) for at in np.ndindex(*inner)]
+    before: np.ndarray | None = None
+    ramp = np.arange(width) * _UNIT
+    for p in range(len(streams[0]) + 1):
+        here = np.full((len(spots), width), _FAR, np.int64)
+        for q, (done, at) in enumerate(spots):
+            reached = p + done
+            row = here[q]
+            heard = padded[base + reached + low : base + reached + high + 1] if base + reached + low >= 0 else np.full(width, -2)
+            backs = [] if before is None else [(before[q], streams[0][p - 1])]
+            backs += [(here[q - step[k]], streams[k + 1][at[k] - 1]) for k in range(len(inner)) if at[k]]
+            for back, word in backs:
+                np.minimum(row, back + (heard != word) * (_UNIT + 1), out=row)  # paired: as far ahead as before
+                np.minimum(row[:-1], back[1:] + _UNIT, out=row[:-1])  # deleted: one less
+            if not reached and low <= 0 <= high:
+                row[-low] = 0
+            outside = (ahead + reached < 0) | (ahead + reached > m)
+            row[outside] = _FAR
+            np.copyto(row, np.minimum(np.minimum.accumulate(row - ramp) + ramp, _FAR))  # inserted: one more
+            row[outside] = _FAR
+        before = here
+    return int(before[-1][m - total - low])
+
+
+ORC = StructType([StructField("status", StringType()), *[StructField(c, LongType()) for c in ("errors", "substitutions", "deletions", "insertions", "total")]])
+
+
+def with_orc(rows: DataFrame, streams: str, hyp: str, name: str = "orc", cells: int = ORC_CELLS) -> DataFrame:
+    """rows with a struct: status, errors, substitutions, deletions, insertions, total of hyp (a list of tokens) against the
+    best interleaving of streams (a list of lists of tokens).
+
+    scored; not_applicable where streams are null, or hold no token; too_large, and no numbers, where the search would
+    pass `cells`. A null list among the streams, or a null hypothesis, is empty.
+    """
+    i, j = rows.columns.index(streams), rows.columns.index(hyp)
+
+    def score(told: list | None, heard: list | None) -> dict:
+        told = [list(s or []) for s in told or []]
+        total = sum(map(len, told))
+        if not total:
+            return {"status": "not_applicable"}
+        found = orc_errors(told, list(heard or []), cells)
+        if found is None:
+            return {"status": "too_large", "total": total}
+        return {"status": "scored", "total": total} | dict(zip(("errors", "substitutions", "deletions", "insertions"), found, strict=True))
+
+    kind = pa.struct([("status", pa.string()), *[(c, pa.int64()) for c in ORC.names[1:]]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [score(s, h) for s, h in zip(b.column(i).to_pylist(), b.column(j).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, kind)], names=[*b.schema.names, name])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, ORC)]))
 
 
 #: Rows up to which subsets of columns are listed.
@@ -270,7 +397,7 @@ def _hungarian(cost: np.ndarray, hyps: list, refs: list) -> list[int]:
 
 def word_errors(rows: DataFrame, ref: str, hyp: str) -> DataFrame:
     """rows with errors (a struct of S, D, I) and ref_words of two array columns; both are token lists."""
-    return rows.withColumn("errors", edit_counts_udf(F.col(ref), F.col(hyp))).withColumn("ref_words", F.size(ref).cast("long"))
+    return with_edit_counts(rows, {"errors": (ref, hyp)}).withColumn("ref_words", F.size(ref).cast("long"))
 
 
 def error_rate(s, d, i, total):

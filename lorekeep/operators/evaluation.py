@@ -69,14 +69,13 @@ def text_rates(rows: DataFrame) -> DataFrame:
 
     Characters are code points of the normalized tokens joined by spaces. A rate over nothing is null.
     """
+    rows = al.with_edit_counts(rows, {"_raw": ("raw_r", "raw_h"), "_norm": ("norm_r", "norm_h")})
     for kind, name in (("raw", "raw_wer"), ("norm", "wer")):
-        rows = rows.withColumn("_e", al.edit_counts_udf(F.col(f"{kind}_r"), F.col(f"{kind}_h")))
-        rows = rows.withColumn(f"{name}_errors", F.expr("_e.substitutions + _e.deletions + _e.insertions")).withColumn(f"{name}_total", F.size(f"{kind}_r").cast("long"))
-        if kind == "norm":
-            rows = rows.withColumns({c: F.col(f"_e.{c}") for c in ("substitutions", "deletions", "insertions")})
+        rows = rows.withColumn(f"{name}_errors", F.expr(f"_{kind}.substitutions + _{kind}.deletions + _{kind}.insertions")).withColumn(f"{name}_total", F.size(f"{kind}_r").cast("long"))
+    rows = rows.withColumns({c: F.col(f"_norm.{c}") for c in ("substitutions", "deletions", "insertions")})
     chars = [F.array_join(c, " ") for c in ("norm_r", "norm_h")]
     rows = rows.withColumn("cer_errors", F.levenshtein(*chars).cast("long")).withColumn("cer_total", F.length(chars[0]).cast("long"))
-    return rows.withColumns({n: rate(f"{n}_errors", f"{n}_total") for n in ("raw_wer", "wer", "cer")}).drop("_e", "raw_r", "raw_h", "norm_r", "norm_h")
+    return rows.withColumns({n: rate(f"{n}_errors", f"{n}_total") for n in ("raw_wer", "wer", "cer")}).drop("_raw", "_norm", "raw_r", "raw_h", "norm_r", "norm_h")
 
 
 def text_scores(ref: DataFrame, hyp: DataFrame, by: Sequence[str] = BY) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.operators.graph import connected_components as components  # noqa: F401
+from lorekeep.operators.jobs import fold_jobs  # noqa: F401
 
 
 def latest(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -80,36 +81,6 @@ def eligible(status: str = "status", attempts: str = "attempts", due: str = "due
     return (F.col(attempts) < most) & ((F.col(status) == "queued") | retry | expired)
 
 
-def fold_jobs(events: DataFrame, most: int = 3, backoff_ms: tuple[int, ...] = (5_000, 30_000)) -> DataFrame:
-    """(job, status, attempts, due_ms): job events claim, fail, error, complete, cancel in order, folded to a state.
-
-    The fold is an aggregate over each job's own short, sorted list of events.
-    """
-    waits = F.array(*[F.lit(b).cast("long") for b in backoff_ms])
-    kind = "struct<status:string,attempts:int,due:bigint>"
-    start = F.struct(F.lit("queued").alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("long").alias("due")).cast(kind)
-
-    def step(s: Column, e: Column) -> Column:
-        live = ~s["status"].isin("complete", "cancelled", "blocked", "failed")
-        state = lambda status, attempts, due: F.struct(F.lit(status).alias("status"), attempts.alias("attempts"), due.cast("long").alias("due")).cast(kind)
-        none = F.lit(None).cast("long")
-        retry = F.when(s["attempts"] >= most, state("failed", s["attempts"], none)).otherwise(
-            state("retry_wait", s["attempts"], e["t"] + F.element_at(waits, F.least(F.greatest(s["attempts"], F.lit(1)), F.lit(len(backoff_ms)))))
-        )
-        return (
-            F.when(live & (e["kind"] == "claim") & s["status"].isin("queued", "retry_wait"), state("running", s["attempts"] + 1, none))
-            .when(live & (e["kind"] == "fail") & (s["status"] == "running"), retry)
-            .when(live & (e["kind"] == "error") & (s["status"] == "running"), state("blocked", s["attempts"], none))
-            .when(live & (e["kind"] == "complete") & (s["status"] == "running"), state("complete", s["attempts"], none))
-            .when(live & (e["kind"] == "cancel"), state("cancelled", s["attempts"], none))
-            .otherwise(s)
-        )
-
-    logs = events.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("t", "seq", "kind"))).alias("log"))
-    folded = logs.select("job", F.aggregate("log", start, step).alias("s"))
-    return folded.select("job", F.col("s.status").alias("status"), F.col("s.attempts").cast("long").alias("attempts"), F.col("s.due").alias("due_ms"))
-
-
 def contradictions(components_: DataFrame, different: DataFrame) -> DataFrame:
     """Edges of `different` whose ends are in one component."""
     l, r = (components_.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}")) for k in ("a", "b"))
@@ -117,12 +88,20 @@ def contradictions(components_: DataFrame, different: DataFrame) -> DataFrame:
 
 
 def insert_identical(existing: DataFrame, new: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows to append, conflicts): a known key with the same content is left out, with another content a conflict."""
+    """(rows to append, conflicts): a known key with the same content is left out, with another content a conflict.
+
+    Within new, rows that are equal are one; a key with several contents is a conflict with each of them, and none of
+    them is appended. Null keys are keys.
+    """
     rest = [c for c in new.columns if c not in key]
-    mark = F.sha2(F.to_json(F.struct(*rest)), 256)
-    old = existing.select(*key, mark.alias("_old"))
-    joined = new.withColumn("_new", mark).join(old, list(key), "left")
-    return joined.where("_old IS NULL").drop("_old", "_new"), joined.where("_old <> _new").drop("_old", "_new")
+    mark = F.sha2(F.to_json(F.struct(*[F.col(c) for c in rest]), {"ignoreNullFields": "false"}), 256)
+    old = existing.select(*[F.col(c).alias(f"_old_{c}") for c in key], mark.alias("_old"))
+    once = new.withColumn("_new", mark).dropDuplicates([*key, "_new"])
+    once = once.withColumn("_several", F.count("*").over(Window.partitionBy(*key)) > 1)
+    same = [F.col(c).eqNullSafe(F.col(f"_old_{c}")) for c in key]
+    joined = once.join(old, same, "left")
+    differs = (F.col("_old").isNotNull() & (F.col("_old") != F.col("_new"))) | (F.col("_old").isNull() & F.col("_several"))
+    return joined.where("_old IS NULL AND NOT _several").select(new.columns), joined.where(differs).select(new.columns)
 
 
 def undo_decisions(decisions: DataFrame, undone: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorekeep.operators import aggregates as ag
 from lorekeep.operators import history as hi
 from lorekeep.operators import joins
+from lorekeep.operators.jobs import Rules, job_log
 from lorekeep.plans.views import table
 
 QUERIES: dict = {}
@@ -296,11 +297,41 @@ def m7_claim_order(spark, sf_dir):
     return j.select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("t", "event_id")).cast("long").alias("claim"))
 
 
-@query("m8_job_states")
+#: A lease of twelve hours, retries after five and thirty: the events of a job are hours apart.
+_RULES = Rules(3, (18_000_000, 108_000_000), 43_200_000)
+
+
+def _job_events(spark, sf_dir):
+    i = F.col("event_id")
+    kind = (
+        F.when(F.col("event_type") == "view", "claim").when(F.col("event_type") == "signup", F.when(i % 3 == 0, "claim").otherwise("heartbeat")).when(F.col("event_type") == "click", "fail")
+        .when(F.col("event_type") == "purchase", F.when(i % 4 == 0, "complete").otherwise("claim")).when(i % 5 == 0, "error").when(i % 11 == 0, "cancel").otherwise("retry")
+    )
+    return _events(spark, sf_dir).select((F.col("user_id") * 4 + i % 4).alias("job"), "t", i.alias("seq"), kind.alias("kind"))
+
+
+_JOB_LOG = f"""WITH RECURSIVE {_EVENTS}, e AS (SELECT user_id * 4 + event_id % 4 AS job, t, event_id AS seq, row_number() OVER (PARTITION BY user_id * 4 + event_id % 4 ORDER BY t, event_id) AS n,
+  CASE event_type WHEN 'view' THEN 'claim' WHEN 'signup' THEN CASE WHEN event_id % 3 = 0 THEN 'claim' ELSE 'heartbeat' END WHEN 'click' THEN 'fail'
+    WHEN 'purchase' THEN CASE WHEN event_id % 4 = 0 THEN 'complete' ELSE 'claim' END ELSE CASE WHEN event_id % 5 = 0 THEN 'error' WHEN event_id % 11 = 0 THEN 'cancel' ELSE 'retry' END END AS kind FROM ev),
+r AS (SELECT DISTINCT job, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS t, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS kind, false AS accepted, 'queued' AS s, CAST(0 AS INTEGER) AS a, CAST(NULL AS BIGINT) AS due, CAST(NULL AS BIGINT) AS lease FROM e
+UNION ALL
+SELECT job, n, t, seq, kind, ok, CASE WHEN NOT ok THEN s ELSE CASE kind WHEN 'claim' THEN 'running' WHEN 'heartbeat' THEN s WHEN 'complete' THEN 'complete' WHEN 'error' THEN 'blocked' WHEN 'cancel' THEN 'cancelled' WHEN 'retry' THEN 'queued'
+    ELSE CASE WHEN a >= 3 THEN 'failed' ELSE 'retry_wait' END END END, CASE WHEN ok AND kind = 'claim' THEN a + 1 WHEN ok AND kind = 'retry' THEN 0 ELSE a END,
+  CASE WHEN NOT ok THEN due WHEN kind = 'fail' AND a < 3 THEN t + CASE WHEN a <= 1 THEN 18000000 ELSE 108000000 END WHEN kind IN ('heartbeat', 'complete', 'error') THEN due END, CASE WHEN NOT ok THEN lease WHEN kind IN ('claim', 'heartbeat') THEN t + 43200000 END
+FROM (SELECT *, CASE kind WHEN 'claim' THEN a < 3 AND (s = 'queued' OR s = 'retry_wait' AND due IS NULL) WHEN 'cancel' THEN s IN ('queued', 'running', 'retry_wait') WHEN 'retry' THEN s = 'failed' ELSE s = 'running' END AS ok
+  FROM (SELECT e.job, e.n, e.t, e.seq, e.kind, a, CASE WHEN s = 'running' AND lease <= e.t THEN CASE WHEN a >= 3 THEN 'failed' ELSE 'queued' END ELSE s END AS s,
+    CASE WHEN s = 'retry_wait' AND due <= e.t THEN NULL ELSE due END AS due, CASE WHEN s = 'running' AND lease <= e.t THEN NULL ELSE lease END AS lease FROM r JOIN e ON e.job = r.job AND e.n = r.n + 1)))"""
+
+
+@query("m8_job_states", f"{_JOB_LOG} SELECT job, s AS status, CAST(a AS BIGINT) AS attempts, due AS due_ms FROM r WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY job ORDER BY n DESC) = 1")
 def m8_job_states(spark, sf_dir):
-    kind = F.when(F.col("event_type") == "view", "claim").when(F.col("event_type") == "click", "fail").when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "error", "error").otherwise("claim")
-    e = _events(spark, sf_dir).select(F.expr("user_id * 1000 + event_id div 50").alias("job"), "t", F.col("event_id").alias("seq"), kind.alias("kind"))
-    return hi.fold_jobs(e)
+    return hi.fold_jobs(_job_events(spark, sf_dir), _RULES.most, _RULES.backoff_ms, _RULES.lease_ms)
+
+
+@query("m8_job_log", f"{_JOB_LOG} SELECT job, t, seq, kind, accepted, s AS status, a AS attempts, due AS due_ms, lease AS lease_ms FROM r WHERE n > 0")
+def m8_job_log(spark, sf_dir):
+    """What every event does to its job; what jobs do by themselves between two events shows in the next one's state."""
+    return job_log(_job_events(spark, sf_dir), _RULES).where("seq IS NOT NULL").drop("fence", "last")
 
 
 @query(

@@ -29,10 +29,11 @@ def safe_relative(name: str) -> str:
 
 
 def read_manifest(spark: SparkSession, path: str, expected: Sequence[int] = (20, 400)) -> DataFrame:
-    """One row per episode of a manifest; the number of episodes and the uniqueness of their names are checked."""
+    """One row per episode of a manifest; the number of episodes, the uniqueness of their names, and that each has a date, a
+    duration, a size and a digest, are checked."""
     doc = spark.read.schema(MANIFEST).json(path, multiLine=True, mode="FAILFAST")
     rows = doc.select("schema_version", "selection", "golden_episode", F.explode("episodes").alias("e")).select("*", "e.*").drop("e")
-    bad = F.count_if(F.coalesce((F.col("duration_ms") <= 0) | (F.col("size_bytes") <= 0) | ~F.col("sha256").rlike("^[0-9a-f]{64}$") | F.col("episode_date").isNull(), F.lit(False)))
+    bad = F.count_if(F.coalesce((F.col("duration_ms") <= 0) | (F.col("size_bytes") <= 0) | ~F.col("sha256").rlike("^[0-9a-f]{64}$") | F.col("episode_date").isNull(), F.lit(True)))
     n, names, faults = rows.agg(F.count("*"), F.count_distinct("relative_filename"), bad).first()
     if n not in expected or names != n or faults:
         raise ValueError(f"{n} episodes with {names} names, {faults} with invalid fields")

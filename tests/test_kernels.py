@@ -212,20 +212,13 @@ def test_text_functions(spark):
     assert tx.canonical_json({"b": 1, "a": ["é"]}) == '{"a":["é"],"b":1}' and len(tx.fingerprint({})) == 64
 
 
-def test_jobs(spark):
-    rows = [(1, 0, 1, "claim"), (1, 5, 2, "fail"), (1, 9, 3, "claim"), (1, 10, 4, "complete"), (2, 0, 1, "claim"), (2, 1, 2, "error"), (2, 3, 3, "claim"), (3, 1, 1, "cancel"), (4, 0, 0, "claim"), (4, 100, 1, "fail")]
-    rows += [(5, t, t, k) for t, k in enumerate(["claim", "fail"] * 3)]
-    got = {r.job: (r.status, r.attempts, r.due_ms) for r in hi.fold_jobs(spark.createDataFrame(rows, "job long, t long, seq long, kind string")).collect()}
-    assert got == {1: ("complete", 2, None), 2: ("blocked", 1, None), 3: ("cancelled", 0, None), 4: ("retry_wait", 1, 5_100), 5: ("failed", 3, None)}
-
-
 def test_sources_and_sinks(spark, tmp_path, sf):
     for bad in ("/etc", "a/../b", "a\\b", "", "a//b"):
         with pytest.raises(ValueError):
             io.safe_relative(bad)
     import json
 
-    (tmp_path / "m.json").write_text(json.dumps({"schema_version": 1, "episodes": [{"relative_filename": f"{i}.mp3", "episode_date": "2026-01-02", "duration_ms": i} for i in range(20)]}))
+    (tmp_path / "m.json").write_text(json.dumps({"schema_version": 1, "episodes": [{"relative_filename": f"{i}.mp3", "episode_date": "2026-01-02", "duration_ms": i + 1, "size_bytes": 5, "sha256": "ab" * 32} for i in range(20)]}))
     assert io.read_manifest(spark, f"file://{tmp_path}/m.json").count() == 20
     scanned = io.scan_binary(spark, f"file://{tmp_path}", "*.json").first()
     import hashlib
