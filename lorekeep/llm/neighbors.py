@@ -158,7 +158,8 @@ def vector_links(rows: DataFrame, threshold: float = 0.93, pivots: int = PIVOTS,
     Two rows are compared only if their labels are equal and not null, by cosine in double precision. A vector that is
     null, zero, or holds a null, NaN or infinity links with nothing, as does a row without vec_id or label; its
     n_links is 0 and its component its own id. Equal vectors are compared once and linked with each other. Repeated
-    rows are rows of their own. Vectors of different lengths never link. An empty table gives an empty result.
+    rows are rows of their own, and so are rows that share a vec_id but not the vector or the label: each has its own
+    links and component. Vectors of different lengths never link. An empty table gives an empty result.
     """
     spark = rows.sparkSession
     vec = F.col("embedding").cast("array<double>")
@@ -168,9 +169,10 @@ def vector_links(rows: DataFrame, threshold: float = 0.93, pivots: int = PIVOTS,
     own = rows.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), vec.alias("vec"), good.alias("good"))
     own = own.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit(1), F.reverse("vec")))
     own = materialize(own, "vectors")
-    classes = own.where("good").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("vec").alias("vec"))
-    classes = materialize(classes.withColumn("dim", F.size("vec").cast("long")), "vector-classes")
-    sample = classes.orderBy(F.xxhash64("rep"), "label").limit(SAMPLE).select("vec").collect()
+    classes = own.where("good").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("vec").alias("vec"))
+    # a class has a number of its own, written once: vec_ids may repeat with other vectors or labels
+    classes = materialize(classes.withColumn("dim", F.size("vec").cast("long")).withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
+    sample = classes.orderBy("h1", "h2", "label").limit(SAMPLE).select("vec").collect()
     by_dim: dict[int, list] = {}
     for r in sample:
         by_dim.setdefault(len(r.vec), []).append(r.vec)
@@ -193,10 +195,11 @@ def vector_links(rows: DataFrame, threshold: float = 0.93, pivots: int = PIVOTS,
     found = materialize(filled.mapInArrow(bounded(_compare(threshold, first)), "rep long, low long, links long"), "vector-links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = connected_components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")), "vector-stars")
+    groups = materialize(classes.select("label", "h1", "h2", "rep", "weight", "least").join(groups.withColumnRenamed("node", "rep"), "rep", "left"), "vector-groups")
+    lowest = groups.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("lowest"))
     named = (
-        classes.select("label", "h1", "h2", "rep", "weight").join(counts, "rep", "left")
-        .join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("label", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+        groups.join(counts, "rep", "left").join(lowest, "component", "left")
+        .select("label", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("lowest", "least").alias("component"))
     )
     result = own.where("good").select("vec_id", "label", "h1", "h2").join(named, ["label", "h1", "h2"]).select(
         "vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id")

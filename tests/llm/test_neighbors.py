@@ -103,3 +103,32 @@ def test_odd_rows(spark):
     got = sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in vector_links(frame).collect())
     assert got == [(0, 0, None, False), (1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False)] + [(i, 0, i, True) for i in range(3, 12)]
     assert vector_links(frame.limit(0)).count() == 0
+
+
+def test_a_vec_id_with_several_vectors_or_labels(spark):
+    """Rows that share a vec_id are told apart by vector and label."""
+    rng = np.random.default_rng(9)
+    v, w = rng.normal(size=(2, 32))
+    near = v + 0.01 * rng.normal(size=32)
+    rows = [(1, v.tolist(), 0), (1, w.tolist(), 0), (2, near.tolist(), 0), (5, w.tolist(), 1), (1, v.tolist(), 1), (7, v.tolist(), 0)]
+    got = sorted(tuple(r) for r in vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == sorted([(1, 2, 1, True), (1, 0, 1, True), (2, 2, 1, False), (5, 0, 5, True), (1, 0, 1, True), (7, 2, 1, False)])
+
+
+def test_many_rows_share_ids(spark):
+    """All ids repeat with other vectors: links and components as by brute force over rows."""
+    rng = np.random.default_rng(10)
+    centres = rng.normal(size=(12, 32))
+    rows = [(i % 20, (centres[rng.integers(12)] + 0.1 * rng.normal(size=32)).tolist(), int(rng.integers(2))) for i in range(200)]
+    unit = np.array([np.array(r[1]) / np.linalg.norm(r[1]) for r in rows])
+    labels, ids = np.array([r[2] for r in rows]), np.array([r[0] for r in rows])
+    linked = (unit @ unit.T >= 0.93) & (labels[:, None] == labels[None, :])
+    np.fill_diagonal(linked, False)
+    reach = ids.copy()
+    while True:
+        new = np.minimum(reach, np.where(linked, reach[None, :], 10**9).min(axis=1))
+        if (new == reach).all():
+            break
+        reach = new
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == sorted(zip(ids.tolist(), linked.sum(axis=1).tolist(), reach.tolist(), strict=True))
