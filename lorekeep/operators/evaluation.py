@@ -191,7 +191,14 @@ def score_chunks(rows: DataFrame) -> DataFrame:
 
     Masks are indices of white-space tokens, removed from every metric. A reference that no human confirmed is
     insufficient_evidence; a mask on one side only, or beyond the tokens, is unscorable. Rates of those are null.
+
+    With columns ref_streams and hyp_streams (lists of struct(text, mask), null where there are none) also orc_status,
+    orc_errors, orc_substitutions, orc_deletions, orc_insertions, orc_total and orc_wer: the hypothesis' streams one after
+    another (or its text) against the best interleaving of the reference's, speakers left aside. not_applicable without
+    reference streams or tokens in them; too_large if the search would pass its limit of cells.
     """
+    if "ref_streams" in rows.columns:
+        return _chunk_streams(score_chunks(rows.withColumnsRenamed({"ref_streams": "_refs", "hyp_streams": "_hyps"})))
     none = F.array().cast("array<int>")
     rows = rows.withColumns({c: F.coalesce(c, none) for c in ("ref_mask", "hyp_mask")})
     for side, text, mask in (("r", "ref_text", "ref_mask"), ("h", "hyp_text", "hyp_mask")):
@@ -212,6 +219,30 @@ def score_chunks(rows: DataFrame) -> DataFrame:
     return rows.select(*rest, *[F.when(F.col("status") == "scored", F.col(c)).alias(c) for c in numbers])
 
 
+def _chunk_streams(rows: DataFrame) -> DataFrame:
+    """score_chunks' rows with _refs and _hyps scored by interleaving."""
+    none = F.array().cast("array<int>")
+
+    def kept(stream):
+        parts = F.transform(tokens(stream["text"]), lambda t, i: F.transform(tokens(normalize(t)), lambda x: F.struct(x.alias("t"), i.alias("i"))))
+        return F.transform(F.filter(F.flatten(parts), lambda x: ~F.array_contains(F.coalesce(stream["mask"], none), x["i"])), lambda x: x["t"])
+
+    any_mask = lambda c: F.coalesce(F.exists(c, lambda s: F.size(F.coalesce(s["mask"], none)) > 0), F.lit(False))
+    beyond = lambda c: F.coalesce(F.exists(c, lambda s: F.coalesce(F.array_max(s["mask"]) >= F.size(tokens(s["text"])), F.lit(False))), F.lit(False))
+    text = kept(F.struct(F.coalesce("hyp_text", F.lit("")).alias("text"), F.col("hyp_mask").alias("mask")))
+    told = F.transform("_refs", kept)
+    heard = F.when(F.coalesce(F.size("_hyps") > 0, F.lit(False)), F.flatten(F.transform("_hyps", kept))).otherwise(text)
+    bad = (any_mask("_refs") != any_mask("_hyps")) | ((F.size("ref_mask") > 0) != (F.size("hyp_mask") > 0)) | beyond("_refs") | beyond("_hyps")
+    rows = rows.withColumn("_human", F.coalesce(F.col("review_status") == "human_truth", F.lit(False))).withColumn("_bad", bad)
+    wanted = F.col("_human") & ~F.col("_bad")
+    rows = al.with_orc(rows.withColumn("_told", F.when(wanted, told)).withColumn("_heard", F.when(wanted, heard)), "_told", "_heard", "_orc")
+    without = F.coalesce(F.size("_refs") == 0, F.lit(True))
+    status = F.when(~F.col("_human"), "insufficient_evidence").when(without, "not_applicable").when(F.col("_bad"), "unscorable").otherwise(F.col("_orc.status"))
+    scored = status == "scored"
+    rows = rows.withColumns({"orc_status": status} | {f"orc_{c}": F.when(scored, F.col(f"_orc.{c}")) for c in al.ORC.names[1:]})
+    return rows.withColumn("orc_wer", rate("orc_errors", "orc_total")).drop("_refs", "_hyps", "_human", "_bad", "_told", "_heard", "_orc")
+
+
 def score_manifest(chunks: DataFrame, references: DataFrame, hypotheses: DataFrame) -> DataFrame:
     """score_chunks over hypotheses(chunk_id, model, hyp_text, hyp_mask) with each chunk's reference of highest revision.
 

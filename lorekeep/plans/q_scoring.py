@@ -427,6 +427,41 @@ def _manifest(spark, sf_dir):
     return chunks, refs, hyps
 
 
+@query("j1_edit_operations")
+def j1_edit_operations(spark, sf_dir):
+    """Operations of each pair of neighbouring turns by kind, from the table function edit_ops in SQL."""
+    al.register_edit_ops(spark)
+    _pairs(spark, sf_dir).createOrReplaceTempView("lorekeep_pairs")
+    return spark.sql("SELECT conv_id, turn, op, count(*) AS n FROM lorekeep_pairs, LATERAL edit_ops(ref, hyp) GROUP BY conv_id, turn, op")
+
+
+def _overlapped(spark, sf_dir):
+    """Pairs of turns as overlapped speech: a stream for each role, heard word by word in turn, every ninth word lost."""
+    c = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", F.expr("turn div 2").alias("part"), "turn", "role", "text")
+    none = F.lit(None).cast("array<int>")
+    streams = c.groupBy("conv_id", "part", "role").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text"))
+    refs = streams.groupBy("conv_id", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("role", "text"))), lambda x: F.struct(x["text"].alias("text"), none.alias("mask"))).alias("ref_streams"))
+    words_ = F.flatten(F.transform("ref_streams", lambda s, k: F.transform(tx.tokens(s["text"]), lambda w, i: F.struct(i.alias("i"), k.alias("k"), w.alias("w")))))
+    heard = F.transform(F.filter(F.array_sort(words_), lambda x: (x["i"] + x["k"]) % 9 != 8), lambda x: x["w"])
+    rows = refs.withColumn("hyp_text", F.array_join(heard, " ")).withColumn("ref_text", F.array_join(F.transform("ref_streams", lambda s: s["text"]), " "))
+    return rows.select(
+        F.expr("conv_id * 1000 + part").alias("chunk_id"), F.lit("m").alias("model"), F.when(F.col("part") % 7 == 6, "machine").otherwise("human_truth").alias("review_status"), "ref_text", "hyp_text",
+        none.alias("ref_mask"), none.alias("hyp_mask"), "ref_streams", F.lit(None).cast("array<struct<text:string,mask:array<int>>>").alias("hyp_streams"),
+    )
+
+
+@query("j4_orc_wer")
+def j4_orc_wer(spark, sf_dir):
+    """Chunks of overlapped speech, scored against the best interleaving of their speakers' streams."""
+    return ev.score_chunks(_overlapped(spark, sf_dir)).select("chunk_id", "model", "status", "wer_errors", "wer_total", *[f"orc_{c}" for c in ("status", "errors", "substitutions", "deletions", "insertions", "total", "wer")])
+
+
+@query("i11_chunk_rates")
+def i11_chunk_rates(spark, sf_dir):
+    """Scores of chunks summed by model and role."""
+    return ev.micro_average(ev.score_manifest(*_manifest(spark, sf_dir)), ["model", "role"], "wer_errors", "wer_total")
+
+
 @query("j17_score_chunks")
 def j17_score_chunks(spark, sf_dir):
     """Each conversation turn against the next, as chunks of a manifest with two revisions of every reference."""

@@ -97,3 +97,25 @@ def test_chunk_scores_are_aggregated(spark, sf, tmp_path, path):
     total = ev.micro_average(rows, ["model", "role"], "wer_errors", "wer_total")
     lists = rows.where("status = 'scored'").groupBy("model", "role").agg(F.sum("wer_errors").alias("e")).collect()
     assert {(r.model, r.role): r.errors for r in total.collect() if r.errors is not None} == {(r.model, r.role): r.e for r in lists}
+
+
+def test_chunks_with_streams(spark):
+    s = lambda *t: [(x, None) for x in t]
+    rows = [
+        (1, "human_truth", "a b c d", "a c b d", None, None, s("a b", "c d"), None), (2, "human_truth", "a b", "x", None, None, None, None), (3, "machine", "a", "a", None, None, s("a"), None),
+        (4, "human_truth", "a b", "a", None, None, [("a b", [1])], [("a", None)]), (5, "human_truth", "a b", "a z", None, None, [("a b", [1])], [("a z", [1])]),
+        (6, "human_truth", "a b", "zz", None, None, s("A, b"), s("a", "c")), (7, "human_truth", "a", "a", None, None, [("a", [3])], [("a", [0])]), (8, "human_truth", "a", "a", None, None, s("..."), None),
+    ]
+    stream = "array<struct<text:string,mask:array<int>>>"
+    frame = spark.createDataFrame(rows, f"chunk_id long, review_status string, ref_text string, hyp_text string, ref_mask array<int>, hyp_mask array<int>, ref_streams {stream}, hyp_streams {stream}")
+    got = {r.chunk_id: (r.orc_status, r.orc_errors, r.orc_total) for r in ev.score_chunks(frame).collect()}
+    none = (None, None)
+    assert got == {1: ("scored", 0, 4), 2: ("not_applicable", *none), 3: ("insufficient_evidence", *none), 4: ("unscorable", *none), 5: ("scored", 0, 1), 6: ("scored", 1, 2), 7: ("unscorable", *none), 8: ("not_applicable", *none)}
+
+
+def test_overlapped_conversations(spark, sf):
+    """Interleaving forgives order, so it never has more errors than the text; what was lost stays lost."""
+    rows = q.j4_orc_wer(spark, sf).collect()
+    scored = [r for r in rows if r.orc_status == "scored"]
+    assert scored and {r.orc_status for r in rows} <= {"scored", "insufficient_evidence"}
+    assert all(r.orc_errors <= r.wer_errors and r.orc_errors == r.orc_deletions and r.orc_total == r.wer_total for r in scored)
