@@ -257,7 +257,9 @@ def with_orc(rows: DataFrame, streams: str, hyp: str, name: str = "orc", cells:
             made = [score(s, h) for s, h in zip(b.column(i).to_pylist(), b.column(j).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, kind)], names=[*b.schema.names, name])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, ORC)]))
+    # a row may take a second: rows are dealt out evenly, however few bytes they are
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, ORC)]))
 
 
 #: Rows up to which subsets of columns are listed.
