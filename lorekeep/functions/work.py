@@ -29,3 +29,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def files_state(df: DataFrame) -> tuple:
+    """Names, sizes and times of the files that df reads; a folder is listed once."""
+    spark, found = df.sparkSession, []
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()]
+    names = {p.getName() for p in paths}
+    for folder in {p.getParent().toString(): p.getParent() for p in paths}.values():
+        for f in folder.getFileSystem(conf).listStatus(folder):
+            if f.getPath().getName() in names:
+                found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekeep.functions.work import new_path
+from lorekeep.functions.work import files_state, new_path
 
 #: Folders of an index by hash of the token; parts of a folder by hash of the document, so a frequent token is many files.
 BUCKETS, SPREAD = 64, 8
@@ -105,14 +105,7 @@ _BUILT: dict[tuple, Index] = {}
 def kept_index(docs: DataFrame) -> Index:
     """The index of a table in files, built once in the shared folder for each state of its files (names, sizes and times)."""
     spark = docs.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-
-    def state(name: str) -> tuple:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        found = path.getFileSystem(conf).getFileStatus(path)
-        return name, found.getLen(), found.getModificationTime()
-
-    key = (spark.sparkContext.applicationId, *sorted(map(state, docs.inputFiles())))
+    key = (spark.sparkContext.applicationId, *files_state(docs))
     if key not in _BUILT:
         folder = new_path(spark, "index")
         build_index(docs, folder)

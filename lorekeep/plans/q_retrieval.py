@@ -123,10 +123,11 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ro
 @query("e4_knn", _KNN + "SELECT query_id, row_id, score, rank FROM k WHERE rank <= 10")
 def e4_knn(spark, sf_dir):
     """Ten neighbours of other episodes, for every row whose id is divisible by 50: a stated query set against all rows."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 20).alias("episode"), vectors.l2_normalize("embedding").alias("v"))
-    rows = rows.withColumn("v", F.col("v"))
+    source = table(spark, sf_dir, "embeddings")
+    rows = source.select("vec_id", (F.col("vec_id") % 20).alias("episode"), vectors.l2_normalize("embedding").alias("v"))
     queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("episode").alias("query_group"), F.col("v").alias("query_vector"))
-    found = vectors.nearest(queries, rows.select(F.col("vec_id").alias("row_id"), F.col("episode").alias("row_group"), F.col("v").alias("row_vector")), 10)
+    index = vectors.kept_cells("episodes", source, rows.select(F.col("vec_id").alias("row_id"), F.col("episode").alias("row_group"), F.col("v").alias("row_vector")))
+    found = vectors.nearest_in(index, queries, 10)
     return found.select("query_id", "row_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
