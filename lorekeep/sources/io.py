@@ -1,14 +1,14 @@
-"""Sources and sinks: manifests, binary files with digests, evaluation documents, artifacts, generations, and exports."""
+"""Sources and sinks: manifests, evaluation documents, artifacts, generations, and exports."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import caption, rttm_seconds, timestamp
+from lorekeep.sources.paths import safe_relative
 
 EPISODE = "relative_filename string, episode_date date, sha256 string, size_bytes bigint, duration_ms bigint, codec string, channels int, sample_rate_hz int"
 MANIFEST = f"schema_version int, observed_at date, selection string, golden_episode string, episodes array<struct<{EPISODE.replace(' string', ':string').replace(' date', ':date').replace(' bigint', ':bigint').replace(' int', ':int')}>>"
@@ -18,14 +18,6 @@ EVALUATION = (
     "words array<struct<word_id:string,text:string,start_ms:bigint,end_ms:bigint,confidence:double,speaker_id:string,overlap:boolean>>, "
     f"turns array<struct<{INTERVAL}>>, exclusive_turns array<struct<{INTERVAL}>>, overlap_intervals array<struct<speaker_ids:array<string>,start_ms:bigint,end_ms:bigint>>"
 )
-_SAFE = re.compile(r"[A-Za-z0-9._@+ -]+(?:/[A-Za-z0-9._@+ -]+)*\Z")
-
-
-def safe_relative(name: str) -> str:
-    """name if it stays below its root: relative, without '..', backslashes or empty parts; else ValueError."""
-    if not _SAFE.match(name) or any(p in ("", ".", "..") for p in name.split("/")):
-        raise ValueError(f"not a safe relative path: {name!r}")
-    return name
 
 
 def read_manifest(spark: SparkSession, path: str, expected: Sequence[int] = (20, 400)) -> DataFrame:
@@ -40,12 +32,6 @@ def read_manifest(spark: SparkSession, path: str, expected: Sequence[int] = (20,
     return rows
 
 
-def scan_binary(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, name, size_bytes, sha256) of files; contents stay on the executors."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
-
-
 def read_evaluation(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(words, turns, overlaps) of evaluation documents; a time origin other than zero raises."""
     doc = spark.read.schema(EVALUATION).json(path, multiLine=True, mode="FAILFAST").withColumn("origin", F.coalesce("time_origin_ms", F.lit(0)))
@@ -73,22 +59,6 @@ def assemble_words(tokens: DataFrame, duration_ms: int) -> DataFrame:
     return g.select("episode", "word", text.alias("text"), "start_ms", "end_ms").where("end_ms > start_ms AND text <> ''")
 
 
-def publish_artifact(df: DataFrame, root: str, key: str) -> str:
-    """Write df below root/key once; a complete directory of that key is used again. Gives the path."""
-    path = f"{root.rstrip('/')}/{safe_relative(key)}"
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-        df.write.mode("overwrite").parquet(path)  # without its mark of success a directory is not complete
-    return path
-
-
-def unregistered(files: DataFrame, registered: DataFrame) -> DataFrame:
-    """Complete artifacts(path) that no row of registered(path) names."""
-    return files.join(registered.select("path"), "path", "left_anti")
-
-
 def replace_partition(df: DataFrame, path: str, by: str) -> None:
     """Replace only the partitions of `by` that df holds."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)

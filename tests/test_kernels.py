@@ -17,7 +17,7 @@ from lorekeep.operators import segmentation as sg
 from lorekeep.operators import stages
 from lorekeep.operators.vectors import greedy_pairs
 from lorekeep.plans.views import speaker_turns, words
-from lorekeep.sources import io
+from lorekeep.sources import artifacts, io
 from lorekeep.streaming import incremental as inc
 
 
@@ -220,7 +220,7 @@ def test_sources_and_sinks(spark, tmp_path, sf):
 
     (tmp_path / "m.json").write_text(json.dumps({"schema_version": 1, "episodes": [{"relative_filename": f"{i}.mp3", "episode_date": "2026-01-02", "duration_ms": i + 1, "size_bytes": 5, "sha256": "ab" * 32} for i in range(20)]}))
     assert io.read_manifest(spark, f"file://{tmp_path}/m.json").count() == 20
-    scanned = io.scan_binary(spark, f"file://{tmp_path}", "*.json").first()
+    scanned = artifacts.scan_binary(spark, f"file://{tmp_path}", "*.json").first()
     import hashlib
 
     assert scanned.sha256 == hashlib.sha256((tmp_path / "m.json").read_bytes()).hexdigest() and scanned.name == "m.json"
@@ -230,8 +230,8 @@ def test_sources_and_sinks(spark, tmp_path, sf):
     io.write_export(io.export_lines(w, "vtt"), f"file://{tmp_path}/vtt")
     assert spark.read.text(f"file://{tmp_path}/vtt").count() > 0
     assert io.export_rttm(speaker_turns(w)).first().line.startswith("SPEAKER ")
-    a = io.publish_artifact(spark.range(3), f"file://{tmp_path}", "x/y")
-    io.publish_artifact(spark.range(9), f"file://{tmp_path}", "x/y")
+    a = artifacts.publish_artifact(spark.range(3), f"file://{tmp_path}", "x/y")
+    artifacts.publish_artifact(spark.range(9), f"file://{tmp_path}", "x/y")
     assert spark.read.parquet(a).count() == 3
     io.publish_generation(spark.range(4), f"file://{tmp_path}/g", "voice", "g1", 4)
     assert [tuple(r) for r in io.publish_generation(spark.range(5), f"file://{tmp_path}/g", "voice", "g2", 5).collect()] == [("voice", "g2")]
