@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lorekeep.functions import variant
 from lorekeep.operators import aggregates as ag
 from lorekeep.operators import history as hi
 from lorekeep.operators import joins
+from lorekeep.operators import pilot as pilots
 from lorekeep.operators.jobs import Rules, job_log
 from lorekeep.plans.views import table
 
@@ -355,6 +357,62 @@ def m10_stratified_sample(spark, sf_dir):
     return hi.top_per_group(d, ["source", "lang"], [F.desc("n_chars"), F.asc("doc_id")], 3).select("doc_id", "source", "lang", F.col("rank").cast("long").alias("rank"))
 
 
+_PILOT = f"""{_EVENTS}, ch AS (SELECT user_id % 8 AS episode, event_id AS chunk_id, t AS start_ms, CASE WHEN event_id % 13 = 0 THEN 'human_boundary_bad' WHEN event_type = 'error' THEN 'chunk_condition_degraded'
+  WHEN event_type = 'view' AND value > 100 THEN 'review_queue_overlap' WHEN value > 150 THEN 'hard_maximum' ELSE 'no_difficulty_tag' END AS difficulty FROM ev),
+sv AS (SELECT *, list_position(['human_boundary_bad', 'chunk_condition_degraded', 'review_queue_overlap', 'hard_maximum', 'no_difficulty_tag'], difficulty) AS sev, CASE WHEN episode % 3 = 0 THEN 'held_out' ELSE 'development' END AS partition FROM ch),
+ep AS (SELECT partition, episode, row_number() OVER (PARTITION BY partition ORDER BY episode) - 1 AS i, count(*) OVER (PARTITION BY partition) AS m FROM (SELECT DISTINCT partition, episode FROM sv)),
+qt AS (SELECT episode, 40 // m + CAST(i < 40 % m AS INTEGER) AS quota, 10 // m + CAST(i < 10 % m AS INTEGER) AS hq FROM ep),
+rk AS (SELECT sv.*, quota, hq, row_number() OVER (PARTITION BY episode ORDER BY sev, start_ms, chunk_id) <= hq AS hard FROM sv JOIN qt USING (episode)),
+en AS (SELECT *, count(*) FILTER (WHERE NOT hard AND sev = 5) OVER (PARTITION BY episode) >= quota - hq AS enough FROM rk),
+cd AS (SELECT *, NOT hard AND (NOT enough OR sev = 5) AS cand FROM en),
+ps AS (SELECT *, row_number() OVER (PARTITION BY episode, cand ORDER BY start_ms, chunk_id) - 1 AS pos, count(*) OVER (PARTITION BY episode, cand) AS n FROM cd),
+pilot AS (SELECT partition, episode, chunk_id, start_ms, CASE WHEN hard THEN 'difficult' ELSE 'representative' END AS category, CASE WHEN hard THEN difficulty ELSE 'temporal_spread' END AS reason, difficulty
+  FROM ps WHERE hard OR (cand AND list_contains(list_transform(range(quota - hq), lambda x: (2 * x + 1) * n // (2 * (quota - hq))), pos)))"""
+
+
+def _pilot_input(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    tag = F.when(F.col("event_id") % 13 == 0, "human_boundary_bad").when(F.col("event_type") == "error", "chunk_condition_degraded").when((F.col("event_type") == "view") & (F.col("value") > 100), "review_queue_overlap")
+    chunks = e.select((F.col("user_id") % 8).alias("episode"), F.col("event_id").alias("chunk_id"), F.col("t").alias("start_ms"), tag.when(F.col("value") > 150, "hard_maximum").otherwise("no_difficulty_tag").alias("difficulty"))
+    split = chunks.select("episode", F.when(F.col("episode") % 3 == 0, "held_out").otherwise("development").alias("partition")).distinct()
+    return chunks, split
+
+
+@query("m10_pilot", f"WITH {_PILOT} SELECT partition, episode, chunk_id, start_ms, category, reason FROM pilot")
+def m10_pilot(spark, sf_dir):
+    """Forty chunks of each partition, ten of them the hardest: sampling is the operator."""
+    return pilots.freeze_pilot(*_pilot_input(spark, sf_dir))
+
+
+@query(
+    "m10_pilot_coverage",
+    f"""WITH {_PILOT}, av AS (SELECT partition, count(DISTINCT episode) AS episodes, count(*) FILTER (WHERE difficulty = 'chunk_condition_degraded') AS degraded_available FROM sv GROUP BY 1)
+SELECT partition, any_value(episodes) AS episodes, count(*) AS chunks, count(*) FILTER (WHERE category = 'difficult') AS difficult, count(*) FILTER (WHERE category = 'representative') AS representative,
+count(*) FILTER (WHERE category = 'difficult' AND difficulty = 'no_difficulty_tag') AS untagged_difficult, count(*) FILTER (WHERE category = 'representative' AND difficulty <> 'no_difficulty_tag') AS tagged_representative,
+count(*) FILTER (WHERE difficulty = 'chunk_condition_degraded') AS degraded, any_value(degraded_available) AS degraded_available FROM pilot JOIN av USING (partition) GROUP BY 1""",
+)
+def m10_pilot_coverage(spark, sf_dir):
+    chunks, split = _pilot_input(spark, sf_dir)
+    return pilots.pilot_coverage(pilots.freeze_pilot(chunks, split), chunks.withColumn("degraded", F.col("difficulty") == "chunk_condition_degraded"), split, ["degraded"])
+
+
+@query(
+    "k11_merge_patches",
+    f"""WITH {_EVENTS}, p AS (SELECT ev.*, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM ev JOIN events USING (event_id)),
+l AS (SELECT user_id, t, event_id, 'k' AS path, CASE WHEN event_type = 'error' THEN NULL ELSE k END AS v FROM p UNION ALL SELECT user_id, t, event_id, 'last/' || event_type, k FROM p WHERE event_type <> 'error'),
+m AS (SELECT user_id, path, max((t, event_id)) AS seen, arg_max(struct_pack(v := v), (t, event_id)).v AS v FROM l GROUP BY ALL),
+e AS (SELECT user_id, max((t, event_id)) AS gone FROM p WHERE event_type = 'error' AND k % 2 = 0 GROUP BY 1)
+SELECT user_id, path, CAST(v AS VARCHAR) AS value FROM m LEFT JOIN e USING (user_id) WHERE v IS NOT NULL AND (path = 'k' OR gone IS NULL OR gone < seen)""",
+)
+def k11_merge_patches(spark, sf_dir):
+    """Each event patches its user's object: k and last.<type>; errors remove k and, where k is even, all of last."""
+    k = F.expr("variant_get(try_parse_json(props), '$.k', 'bigint')").cast("string")
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.expr("unix_micros(CAST(ts AS TIMESTAMP)) div 1000").alias("t"), k.alias("k"))
+    patch = F.when(F.col("event_type") == "error", F.when(F.col("k").cast("long") % 2 == 0, F.lit('{"k": null, "last": null}')).otherwise(F.lit('{"k": null}'))).otherwise(F.format_string('{"k": %s, "last": {"%s": %s}}', "k", "event_type", "k"))
+    merged = variant.merge_patches(e.withColumn("payload", patch), ["user_id"], ["t", "event_id"])
+    return merged.select("user_id", F.translate("path", variant.STEP, "/").alias("path"), "value")
+
+
 @query(
     "m13_corrections",
     "SELECT d.doc_id, coalesce(CASE WHEN l.toxic = 1 THEN 'toxic' END, d.lang) AS effective, d.lang AS machine, CASE WHEN l.toxic = 1 THEN 'toxic' END AS human FROM documents d LEFT JOIN labels l USING (doc_id)",
