@@ -98,7 +98,7 @@ def mix(docs: DataFrame, max_epochs: int = 3, weights: tuple[int, ...] = (1, 2,
     source; repeated rows are kept apart; an empty table gives an empty result. Only doc_id, text and source are read.
     """
     sizes = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
-    sizes = materialize(sizes.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")), "mix-sizes")
+    sizes = materialize(sizes.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text_hash")), "mix-sizes")
     targets = materialize(source_targets(sizes, max_epochs, weights), "mix-targets")
     slots = schedule(targets, block_words)
     rows = stream_positions(sizes, targets)
@@ -108,7 +108,8 @@ def mix(docs: DataFrame, max_epochs: int = 3, weights: tuple[int, ...] = (1, 2,
         " least(e * source_size + at + size, words) AS hi, e * source_size + at AS first)), t -> t.hi > t.lo))"
     )
     rows = rows.select("doc_id", "text_hash", "size", "source_size", "target", "sid", "bucket", "rid", F.explode(turns).alias("t"))
-    blocks = F.expr(f"if(t.lo IS NULL, array(-1L), sequence(t.lo div {block_words}, (t.hi - 1) div {block_words}))")
+    # a document's row without slot has a block that no slot has, another for each bucket: it finds nothing and is spread
+    blocks = F.expr(f"if(t.lo IS NULL, array(-1L - bucket), sequence(t.lo div {block_words}, (t.hi - 1) div {block_words}))")
     rows = rows.select("*", F.explode(blocks).alias("block")).withColumn("lo", F.when(F.col("block") >= 0, F.greatest("t.lo", F.col("block") * block_words)))
     rows = rows.withColumn("n", F.when(F.col("block") >= 0, F.least("t.hi", (F.col("block") + 1) * block_words) - F.col("lo")).otherwise(0))
     spans = rows.join(slots, ["sid", "block"], "left").where("block < 0 OR slot IS NOT NULL")

@@ -3,6 +3,9 @@
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
+from lorekeep.llm import mixing
 from lorekeep.llm.mixing import mix, mix_totals, op7_mixing, schedule, source_targets
 
 
@@ -70,3 +73,16 @@ def test_odd_rows(spark):
     assert mix_totals(docs.limit(0)).count() == 0
     spans = mix(docs).where("slot IS NOT NULL").collect()
     assert all(0 <= r.start and r.start + r.n <= r.size and r.n > 0 for r in spans)
+
+
+def test_rows_of_one_source_are_spread(spark, monkeypatch):
+    """With one source and null ids, neither a bucket nor a key of the join with slots holds more than a few buckets' rows."""
+    monkeypatch.setattr(mixing, "BUCKET", 50)
+    docs = spark.range(4_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("a b "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    spans = mixing.mix(docs).where("slot IS NULL")
+    assert spans.count() == 4_000
+    assert spans.groupBy("sid", "bucket").count().agg(F.max("count")).first()[0] < 150
+    plan = spans._jdf.queryExecution().optimizedPlan().toString()
+    assert "(-1 - bucket" in plan
+    totals = mixing.mix_totals(docs)
+    assert totals.count() == 4_000 and totals.agg(F.sum("taken")).first()[0] == 12_000
