@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import variant
 from lorekeep.operators import aggregates as ag
+from lorekeep.operators import batches
 from lorekeep.operators import history as hi
 from lorekeep.operators import joins
 from lorekeep.operators import pilot as pilots
@@ -413,6 +414,19 @@ def k11_merge_patches(spark, sf_dir):
     return merged.select("user_id", F.translate("path", variant.STEP, "/").alias("path"), "value")
 
 
+@query(
+    "e12_batches",
+    """WITH RECURSIVE o AS (SELECT o_orderstatus AS stream, CAST(o_custkey % 97 + 1 AS BIGINT) AS size, CAST(sum(o_custkey % 97 + 1) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM orders),
+b(stream, batch, s) AS (SELECT DISTINCT stream, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM o UNION ALL SELECT b.stream, b.batch + 1, min(o.e - o.size) FROM b JOIN o ON o.stream = b.stream AND o.e > b.s + 1000 GROUP BY b.stream, b.batch)
+SELECT o.stream, batch, count(*) AS items, CAST(sum(size) AS BIGINT) AS bytes FROM o ASOF JOIN b ON o.stream = b.stream AND o.e - o.size >= b.s GROUP BY ALL""",
+)
+def e12_batches(spark, sf_dir):
+    """Orders as excerpts of 1 to 97 bytes, a stream for each status, packed under a cap of a thousand."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("stream"), "o_orderkey", (F.col("o_custkey") % 97 + 1).cast("long").alias("bytes"))
+    joined = batches.pack_batches(rows, "stream", ["o_orderkey"], "bytes", 1_000).join(rows, ["stream", "o_orderkey"])
+    return joined.groupBy("stream", "batch").agg(F.count("*").alias("items"), F.sum("bytes").alias("bytes"))
+
+
 @query(
     "m13_corrections",
     "SELECT d.doc_id, coalesce(CASE WHEN l.toxic = 1 THEN 'toxic' END, d.lang) AS effective, d.lang AS machine, CASE WHEN l.toxic = 1 THEN 'toxic' END AS human FROM documents d LEFT JOIN labels l USING (doc_id)",
