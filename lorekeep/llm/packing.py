@@ -1,8 +1,9 @@
 """Order-preserving packing of documents into fixed windows by dynamic programming.
 
 The documents of a partition form one stream of ids, in the order of its rows. Cuts may fall at the end of a document
-(free), at the end of a sentence within one (a small penalty), and, where a stretch without either is longer than a
-sixteenth of a window, at steps of that inside it (a large penalty). best[j] = penalty[j] + min over cuts i within a window before j of best[i] + padding.
+(free), at the end of a sentence within one (a small penalty), and, where a stretch without either is longer than a 32nd
+of a window, at steps of that inside it (a large penalty). Each window costs as much as 96 ids of padding, so that lengths
+without padding (powers of two) don't multiply short windows. best[j] = penalty[j] + min over cuts i within a window before j of best[i] + padding.
 Padding falls as i moves back, by one for each id, so the minimum of best[i] + position[i] over the sliding window is
 kept in a monotone queue; lengths that are a power of two have no padding and are looked up apart. The stream is solved
 in blocks; the last window of a block is carried into the next, so blocks leave no padding of their own.
@@ -25,7 +26,7 @@ from lorekeep.llm.common import bounded, read
 from lorekeep.llm.tokens import default_tokenizer, encoder
 
 #: Costs in ids of padding: a cut at a sentence, a cut inside one, and each window.
-SENTENCE, INSIDE, WINDOW_COST = 4, 16, 2
+SENTENCE, INSIDE, WINDOW_COST = 4, 16, 96
 BLOCK_IDS = 1 << 18
 
 
@@ -94,7 +95,7 @@ def _candidates(docs: list[tuple], ends: np.ndarray, window: int) -> tuple[np.nd
     kind[np.cumsum([len(d[3]) for d in docs]) - 1] = 2
     at = np.concatenate(([0], np.flatnonzero(kind) + 1))
     cost = np.concatenate(([0.0], np.where(kind[at[1:] - 1] == 2, 0.0, float(SENTENCE))))
-    step = max(1, window // 16)
+    step = max(1, window // 32)
     wide = np.flatnonzero(np.diff(at) > step)
     if len(wide):
         more = np.concatenate([np.arange(at[i] + step, at[i + 1], step) for i in wide])
