@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import variant
+from lorekeep.functions.work import new_path
 from lorekeep.operators import aggregates as ag
 from lorekeep.operators import batches
 from lorekeep.operators import history as hi
-from lorekeep.operators import joins
+from lorekeep.operators import identity, joins
 from lorekeep.operators import pilot as pilots
 from lorekeep.operators.jobs import Rules, job_log
 from lorekeep.plans.views import table
@@ -526,6 +527,31 @@ def m3_split(spark, sf_dir):
     return hi.memberships(hi.split_members(d, d.where("a % 4 = 0").select(F.col("a").alias("node"))))
 
 
+_GROUPS = """ids AS (SELECT node, min(node) OVER (PARTITION BY c) AS c FROM (SELECT node, min(c) AS c FROM r GROUP BY 1)),
+was AS (SELECT node, 'global-' || substr(sha256(CAST(c AS VARCHAR)), 1, 32) AS g, max(node) OVER (PARTITION BY c) AS retain FROM ids)"""
+
+
+@query(
+    "m3_rebuild",
+    f"""WITH RECURSIVE {_DECISIONS.replace("o_custkey // 3", "o_custkey // 3 + o_orderkey % 2")}, e AS (SELECT a, b, decision_id FROM d WHERE decision = 'same_person' AND state = 'active'), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, c) AS (SELECT a, a FROM both_ UNION SELECT both_.b, r.c FROM r JOIN both_ ON both_.a = r.node), {_GROUPS},
+e2 AS (SELECT a, b FROM e WHERE decision_id % 11 > 0), both2 AS (SELECT a, b FROM e2 UNION SELECT b, a FROM e2),
+r2(node, c) AS (SELECT a, a FROM both2 UNION SELECT both2.b, r2.c FROM r2 JOIN both2 ON both2.a = r2.node), ids2 AS (SELECT node, min(c) AS c FROM r2 GROUP BY 1),
+hit AS (SELECT DISTINCT g FROM e JOIN was ON node = a WHERE decision_id % 11 = 0)
+SELECT was.node, was.g AS before, CASE WHEN i.c IS NULL THEN NULL WHEN i.c = k.c THEN was.g ELSE substr(was.g, 1, 9) || substr(sha256(was.g || ':1:' || i.c), 1, 30) END AS after
+FROM was JOIN hit USING (g) LEFT JOIN ids2 i ON i.node = was.node LEFT JOIN ids2 k ON k.node = was.retain""",
+)
+def m3_rebuild(spark, sf_dir):
+    """Every eleventh decision is undone in the kept groups; the largest key of a group retains its id."""
+    d = _decisions(spark, sf_dir).withColumn("b", F.col("b") + F.col("decision_id") % 2)
+    path = new_path(spark, "identity")
+    identity.publish_identity(d, path)
+    links = identity.read_identity(spark, path, "link").where("decision = 'same_person' AND state = 'active' AND decision_id % 11 = 0")
+    most = identity.read_identity(spark, path, "member").groupBy("group_id").agg(F.max("node").alias("retain"))
+    requests = links.join(most, "group_id").select("group_id", "decision_id", F.col("revision").alias("expected"), F.lit(None).alias("node"), "retain", F.lit("reviewer").alias("reviewer"))
+    return identity.correct_identity(spark, path, requests).changes
+
+
 @query("m4_mapping_states", f"WITH {_EVENTS}, l AS (SELECT user_id, arg_max(event_type, (t, event_id)) AS last FROM ev GROUP BY 1) SELECT event_id, user_id, event_type, CASE WHEN event_type = last THEN 'current' ELSE 'stale' END AS mapping_state FROM ev JOIN l USING (user_id)")
 def m4_mapping_states(spark, sf_dir):
     return hi.mapping_states(_events(spark, sf_dir), ["user_id"], "event_type", ["t", "event_id"]).select("event_id", "user_id", "event_type", "mapping_state")
