@@ -98,7 +98,8 @@ def _candidates(docs: list[tuple], ends: np.ndarray, window: int) -> tuple[np.nd
     step = max(1, window // 32)
     wide = np.flatnonzero(np.diff(at) > step)
     if len(wide):
-        more = np.concatenate([np.arange(at[i] + step, at[i + 1], step) for i in wide])
+        steps = (at[wide + 1] - at[wide] - 1) // step
+        more = np.repeat(at[wide] - step * (np.cumsum(steps) - steps - 1), steps) + step * np.arange(steps.sum())
         at, cost = np.concatenate((at, more)), np.concatenate((cost, np.full(len(more), float(INSIDE))))
         order = np.argsort(at, kind="stable")
         at, cost = at[order], cost[order]
