@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import variant
 from lorekeep.functions.work import new_path
+from lorekeep.operators import acoustics
 from lorekeep.operators import aggregates as ag
 from lorekeep.operators import batches
 from lorekeep.operators import history as hi
@@ -218,6 +219,31 @@ def i9_level_ladder(spark, sf_dir):
     return e.select("event_id", ag.level(F.col("value") / 490.0, (i % 100) / 100.0).alias("level"), ag.degraded((i % 37) / 1000.0, -(i % 60).cast("double"), (i % 9) / 10.0).alias("quality"))
 
 
+_LABELS = ("Speech", "Pop Music", "Singing", "Engine", "Rain on Roof", "Dog")
+
+
+@query(
+    "i9_conditions",
+    f"""WITH s AS (SELECT user_id, event_id % 6 AS k, (event_id * 37 % 1024) / 1024.0 AS p, event_id FROM events WHERE user_id % 9 > 0),
+m AS (SELECT user_id, ['{"', '".join(_LABELS)}'][k + 1] AS label, k, round(avg(p), 6) AS p FROM s GROUP BY ALL),
+c AS (SELECT user_id, coalesce(max(p) FILTER (k IN (1, 2)), 0) AS music, coalesce(max(p) FILTER (k = 0), 0) AS speech, coalesce(string_agg(label, '|' ORDER BY label) FILTER (p >= 0.25 AND k IN (2, 3, 4)), '') AS activity FROM m GROUP BY 1),
+u AS (SELECT DISTINCT user_id FROM events)
+SELECT u.user_id, CASE WHEN c.user_id IS NULL THEN 'unknown' ELSE 'derived' END AS status, music AS music_score, speech AS speech_score,
+  CASE WHEN c.user_id IS NULL THEN 'uncertain' WHEN music < 0.339844 THEN 'none' WHEN music >= 0.80 THEN 'dominant' WHEN speech >= 0.565918 THEN 'background' ELSE 'uncertain' END AS music_level,
+  coalesce(music >= 0.80 OR (music >= 0.339844 AND speech >= 0.565918), FALSE) AS has_music, coalesce(speech >= 0.565918, FALSE) AS has_speech, coalesce(activity, '') AS activity,
+  CASE WHEN c.user_id IS NULL THEN 'uncertain' WHEN u.user_id % 3 = 0 OR u.user_id % 50 > 45 THEN 'degraded' ELSE 'clean' END AS quality
+FROM u LEFT JOIN c USING (user_id)""",
+)
+def i9_conditions(spark, sf_dir):
+    """Users as chunks and their events as windows; every third has no signal, every ninth no window."""
+    e = table(spark, sf_dir, "events")
+    i, names = F.col("event_id"), F.array(*[F.lit(x) for x in _LABELS])
+    chunks = e.select("user_id").distinct().select("user_id", F.lit(0).alias("start_ms"), F.lit(10_000).alias("end_ms"))
+    scores = e.where("user_id % 9 > 0").select("user_id", F.lit(0).alias("window_start"), F.lit(10_000).alias("window_end"), (i % 6).alias("class_id"), F.get(names, (i % 6).cast("int")).alias("label"), ((i * 37 % 1024) / 1024.0).alias("p"))
+    signals = chunks.where("user_id % 3 > 0").select("user_id", F.lit(0.0).alias("clipping"), (-(F.col("user_id") % 50).cast("double")).alias("rms_dbfs"), F.lit(0.25).alias("silence"))
+    return acoustics.acoustic_conditions(chunks, scores, signals, ["user_id"]).withColumn("activity", F.array_join("activity", "|"))
+
+
 @query("i10_confusion", "SELECT a AS actual, p AS predicted, count(l.doc_id) AS n FROM (VALUES (0), (1)) x(a) CROSS JOIN (VALUES (0), (1)) y(p) LEFT JOIN labels l ON quality = a AND toxic = p GROUP BY ALL")
 def i10_confusion(spark, sf_dir):
     return ag.confusion(table(spark, sf_dir, "labels"), "quality", "toxic", (0, 1))
