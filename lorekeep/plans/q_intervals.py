@@ -86,18 +86,22 @@ isl AS (SELECT *, sum(CASE WHEN pa = active AND pe = s THEN 0 ELSE 1 END) OVER (
 segs AS (SELECT episode, min(s) AS start_ms, max(e) AS end_ms, any_value(active) AS active, any_value(n) AS n FROM isl GROUP BY episode, island)"""
 
 
+def _named(spark, sf_dir):
+    return _t(spark, sf_dir).withColumn("speaker", F.col("speaker").cast("string"))
+
+
 def _shown(df):
-    return df.select("episode", "start_ms", "end_ms", F.array_join(F.array_sort(F.transform("active", lambda x: x.cast("string"))), ",").alias("active"))
+    return df.select("episode", "start_ms", "end_ms", F.array_join("active", ",").alias("active"))
 
 
 @query("f1_active_segments", f"WITH {turns_sql()}, {segments_sql('turns')} SELECT episode, start_ms, end_ms, active FROM segs")
 def f1_active_segments(spark, sf_dir):
-    return _shown(iv.segments(_t(spark, sf_dir), ["episode"], "speaker", BUCKET))
+    return _shown(iv.segments(_named(spark, sf_dir), ["episode"], "speaker", BUCKET))
 
 
 @query("f2_overlaps", f"WITH {turns_sql()}, {segments_sql('turns')} SELECT episode, start_ms, end_ms, active FROM segs WHERE n > 1")
 def f2_overlaps(spark, sf_dir):
-    return _shown(iv.overlap_intervals(_t(spark, sf_dir), ["episode"], "speaker", BUCKET))
+    return _shown(iv.overlap_intervals(_named(spark, sf_dir), ["episode"], "speaker", BUCKET))
 
 
 @query(
