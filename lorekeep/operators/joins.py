@@ -47,7 +47,9 @@ def nearest_within(points: DataFrame, marks: DataFrame, by: Sequence[str], withi
     both = points.select(*by, "point_id", "t", F.lit(None).cast("long").alias("m")).unionByName(marks.select(*by, F.lit(None).cast("long").alias("point_id"), F.col("m").alias("t"), "m"))
     w = Window.partitionBy(*by).orderBy("t", F.col("m").asc_nulls_last())
     both = both.withColumn("before", F.last("m", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("after", F.first("m", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("point_id IS NOT NULL")
+    # the mark after is the last one of the stream read backwards: a frame that ends with the group is read anew at each row
+    back = Window.partitionBy(*by).orderBy(F.desc("t"), F.col("m").desc_nulls_first())
+    both = both.withColumn("after", F.last("m", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))).where("point_id IS NOT NULL")
     near = F.when(F.col("after").isNull() | (F.col("t") - F.col("before") <= F.col("after") - F.col("t")), F.col("before")).otherwise(F.col("after"))
     both = both.withColumn("nearest", F.coalesce(near, "after"))
     return both.select(*by, "point_id", "t", F.when(F.abs(F.col("nearest") - F.col("t")) <= within_ms, F.col("nearest")).alias("nearest"))
