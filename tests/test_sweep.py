@@ -4,7 +4,9 @@ import random
 
 import pytest
 from lorekeep.operators import alignment as al
+from lorekeep.operators import evaluation as ev
 from lorekeep.operators import intervals as iv
+from lorekeep.operators import joins
 from lorekeep.operators import segmentation as sg
 
 SCHEMA = "episode string, speaker string, start_ms long, end_ms long"
@@ -80,3 +82,26 @@ def test_crowds_move_as_edges(spark, crowd):
         assert shuffled(spark, rows) < 25_000
     most = iv.speaker_condition(crowd, by, "speaker", 60_000).first()
     assert (most.speech_ms, most.overlap_ms, most.most, most.labels) == (603_990, 603_970, 400, 400)
+
+
+def test_nearest_marks_without_a_frame_to_the_end(spark):
+    """A frame up to the group's end is read anew at each row, so its time grows with the square of the group."""
+    rng = random.Random(5)
+    points = [("e", i, rng.randrange(3_000)) for i in range(300)]
+    marks = sorted({rng.randrange(3_000) for _ in range(60)})
+    found = joins.nearest_within(spark.createDataFrame(points, "episode string, point_id long, t long"), spark.createDataFrame([("e", m) for m in marks], "episode string, m long"), ["episode"], 40)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().executedPlan().toString().lower()
+    got = {r.point_id: r.nearest for r in found.collect()}
+    for _, i, t in points:
+        near = min(marks, key=lambda m: (abs(t - m), m))
+        assert got[i] == (near if abs(t - near) <= 40 else None)
+
+
+def test_scores_of_slices_move_as_edges(spark, crowd):
+    """Turns against slices and free stretches would be over 500,000 records."""
+    turns = crowd.selectExpr("episode AS source", "concat('s', CAST(substring(speaker, 2) AS INT) % 3) AS speaker", "start_ms", "end_ms")
+    lengths = turns.groupBy("source").agg({"end_ms": "max"}).toDF("source", "duration_ms")
+    found = ev.score_diarization(turns, turns, ev.slice_ranges(lengths), 60_000, 2)
+    assert shuffled(spark, found) < 60_000
+    whole = found.where("slice = 'all'").first()
+    assert (whole.der, whole.jer, whole.ref_speakers) == (0.0, 0.0, 3)
