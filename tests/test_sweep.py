@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from lorekeep.operators import alignment as al
 from lorekeep.operators import evaluation as ev
@@ -105,3 +106,10 @@ def test_scores_of_slices_move_as_edges(spark, crowd):
     assert shuffled(spark, found) < 60_000
     whole = found.where("slice = 'all'").first()
     assert (whole.der, whole.jer, whole.ref_speakers) == (0.0, 0.0, 3)
+
+
+def test_few_rows_are_python_objects_at_a_time():
+    batch = pa.RecordBatch.from_pydict({"x": list(range(1000))})
+    parts = list(al.sliced(batch))
+    assert max(x.num_rows for x in parts) <= 32 and [v for x in parts for v in x.column(0).to_pylist()] == list(range(1000))
+    assert list(al.sliced(batch.slice(0, 0))) == []
