@@ -2,6 +2,7 @@
 scores that are aggregated."""
 
 import random
+import sys
 from collections import Counter
 from itertools import permutations
 
@@ -119,3 +120,32 @@ def test_overlapped_conversations(spark, sf):
     scored = [r for r in rows if r.orc_status == "scored"]
     assert scored and {r.orc_status for r in rows} <= {"scored", "insufficient_evidence"}
     assert all(r.orc_errors <= r.wer_errors and r.orc_errors == r.orc_deletions and r.orc_total == r.wer_total for r in scored)
+
+
+def test_places_are_walked_in_layers(spark, sf):
+    """The work in Python grows with the words, not with the places; of a chunk's scores only those asked for are made."""
+    rng = random.Random(3)
+    a, b = ([rng.choice("abcdefgh") for _ in range(n)] for n in (90, 40))
+    calls = Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        got = al.orc_errors([a, b], a + b)
+    finally:
+        sys.setprofile(None)
+    assert got == (0, 0, 0, 0) and calls.total() < 60 * 131
+    assert "levenshtein" not in q.j4_orc_wer(spark, sf)._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_counts_of_few_pairs():
+    """Channels are compared by distance; operations are counted for the pairs that are chosen."""
+    rng = random.Random(4)
+    side = lambda names: {x: [rng.choice("abcdef") for _ in range(30)] for x in names}
+    ref, hyp, made = side("ABC"), side("xyz"), []
+    count = al.edit_counts
+    al.edit_counts = lambda r, h: made.append(1) or count(r, h)
+    try:
+        got = al.cpwer(ref, hyp)
+    finally:
+        al.edit_counts = count
+    best = min(permutations("xyz"), key=lambda p: sum(sum(count(ref[a], hyp[b])) for a, b in zip("ABC", p, strict=True)))
+    assert got["errors"] == sum(sum(count(ref[a], hyp[b])) for a, b in zip("ABC", best, strict=True)) and len(made) == 3
