@@ -113,3 +113,16 @@ def test_few_rows_are_python_objects_at_a_time():
     parts = list(al.sliced(batch))
     assert max(x.num_rows for x in parts) <= 32 and [v for x in parts for v in x.column(0).to_pylist()] == list(range(1000))
     assert list(al.sliced(batch.slice(0, 0))) == []
+
+
+def test_exclusions_meet_only_what_they_name(spark, monkeypatch):
+    """Overlaps of a crowd are joined in buckets that are short beside the turns, and are those of the plain product."""
+    rows = [("e", f"s{k % 13}", 700 * k, 700 * k + 4_000 + 37 * (k % 5)) for k in range(300)]
+    t = spark.createDataFrame(rows, "episode string, speaker string, start_ms long, end_ms long")
+    sizes, join = [], sg.range_join
+    monkeypatch.setattr(sg, "range_join", lambda a, b, by, ms: sizes.append(ms) or join(a, b, by, ms))
+    got = sorted(tuple(r) for r in sg.exemplar_exclusions(t, 600_000).where("reason = 'overlap'").select("speaker", "start_ms", "end_ms").collect())
+    assert min(sizes) <= 1_100
+    own = [tuple(r) for r in iv.merge_ranges(t, ["speaker"]).collect()]
+    both = [(max(0, r.start_ms - 250), r.end_ms + 250) for r in iv.activity(t, ["episode"], "speaker").where("n >= 2").collect()]
+    assert got == sorted((s, max(a, c), min(b, d)) for s, a, b in own for c, d in both if a < d and c < b)
