@@ -8,10 +8,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import normalize, tokens
+from lorekeep.functions.work import materialize
 from lorekeep.operators import alignment as al
 from lorekeep.operators.aggregates import verdict
 
@@ -29,11 +31,22 @@ def maps_of(events: DataFrame, by: list[str], kinds: dict[str, str]) -> DataFram
     """(by, hyp_label, ref_label) from duration events: the one-to-one map of greatest common time; unmapped labels are left out."""
     w = events.select(*by, "ms", F.explode("ref").alias("r"), "hyp").select(*by, "ms", "r", F.explode("hyp").alias("h")).groupBy(*by, "r", "h").agg(F.sum("ms").alias("ms"))
 
-    def choose(key: tuple, g: pd.DataFrame) -> pd.DataFrame:  # a row for each pair of labels of a group
-        found = al.speaker_map({(h, r): int(ms) for h, r, ms in g[["h", "r", "ms"]].itertuples(index=False)})
-        return pd.DataFrame([(*key, h, r) for h, r in found.items() if r is not None], columns=[*by, "hyp_label", "ref_label"])
+    # a row for each group, and groups dealt out by number: they are many and small, and a pass over one costs more than its bytes
+    rows = w.groupBy(*by).agg(F.collect_list(F.struct("h", "r", "ms")).alias("pairs")).repartition(int(w.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
-    return w.groupBy(*by).applyInPandas(choose, ", ".join(f"{c} {kinds[c]}" for c in by) + ", hyp_label string, ref_label string")
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, hyps, refs = [], [], []
+            for k, pairs in enumerate(b.column(len(by)).to_pylist()):
+                for h, r in al.speaker_map({(x["h"], x["r"]): x["ms"] for x in pairs}).items():
+                    if r is not None:
+                        at.append(k)
+                        hyps.append(h)
+                        refs.append(r)
+            keys = [b.column(k).take(pa.array(at, pa.int64())) for k in range(len(by))]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(hyps, pa.string()), pa.array(refs, pa.string())], names=[*by, "hyp_label", "ref_label"])
+
+    return rows.select(*by, "pairs").mapInArrow(choose, ", ".join(f"{c} {kinds[c]}" for c in by) + ", hyp_label string, ref_label string")
 
 
 def speaker_maps(ref: DataFrame, hyp: DataFrame, bucket_ms: int) -> DataFrame:
@@ -42,9 +55,10 @@ def speaker_maps(ref: DataFrame, hyp: DataFrame, bucket_ms: int) -> DataFrame:
     return maps_of(events, ["source"], {"source": dict(ref.dtypes)["source"]})
 
 
-def diarization_scores(ref: DataFrame, hyp: DataFrame, maps: DataFrame, bucket_ms: int) -> DataFrame:
-    """(source, ref_ms, missed_ms, false_ms, confused_ms, der, speaker_count_error)."""
-    sums = al.diarization_sums(al.duration_events(ref, hyp, ["source"], "speaker", bucket_ms), ["source"], maps)
+def diarization_scores(ref: DataFrame, hyp: DataFrame, maps: DataFrame, bucket_ms: int, events: DataFrame | None = None) -> DataFrame:
+    """(source, ref_ms, missed_ms, false_ms, confused_ms, der, speaker_count_error); events are their duration events, if
+    they are made already."""
+    sums = al.diarization_sums(events or al.duration_events(ref, hyp, ["source"], "speaker", bucket_ms), ["source"], maps)
     sums = sums.withColumn("der", F.round(F.try_divide((F.col("missed_ms") + F.col("false_ms") + F.col("confused_ms")).cast("double"), F.col("ref_ms").cast("double")), 6))
     count = lambda d, n: d.groupBy("source").agg(F.count_distinct("speaker").alias(n))
     return sums.join(count(ref, "n_ref"), "source", "left").join(count(hyp, "n_hyp"), "source", "left").withColumn(
@@ -97,8 +111,9 @@ def cpwer_scores(ref: DataFrame, hyp: DataFrame) -> DataFrame:
 def evaluate(ref_words: DataFrame, hyp_words: DataFrame, ref_turns: DataFrame, hyp_turns: DataFrame, timings: DataFrame, bucket_ms: int) -> DataFrame:
     """All scores of each source, with the verdict; timings(source, timings) counts manually timed words, and may have a
     column gates, whether the reference's split, review and fingerprints hold (verdict)."""
-    maps = speaker_maps(ref_turns, hyp_turns, bucket_ms)
-    rows = word_scores(ref_words, hyp_words).join(diarization_scores(ref_turns, hyp_turns, maps, bucket_ms), "source", "left")
+    events = materialize(al.duration_events(ref_turns, hyp_turns, ["source"], "speaker", bucket_ms), "duration-events")
+    maps = materialize(maps_of(events, ["source"], {"source": dict(ref_turns.dtypes)["source"]}), "speaker-maps")
+    rows = word_scores(ref_words, hyp_words).join(diarization_scores(ref_turns, hyp_turns, maps, bucket_ms, events), "source", "left")
     rows = rows.join(speaker_word_scores(ref_words, hyp_words, maps), "source", "left").join(cpwer_scores(ref_words, hyp_words), "source", "left").join(timings, "source", "left")
     gates = [F.col("gates")] if "gates" in timings.columns else []
     return rows.withColumn("verdict", verdict(F.col("wer"), F.col("der"), F.coalesce("timings", F.lit(0)), *gates)).drop("gates")

@@ -126,3 +126,14 @@ def test_exclusions_meet_only_what_they_name(spark, monkeypatch):
     own = [tuple(r) for r in iv.merge_ranges(t, ["speaker"]).collect()]
     both = [(max(0, r.start_ms - 250), r.end_ms + 250) for r in iv.activity(t, ["episode"], "speaker").where("n >= 2").collect()]
     assert got == sorted((s, max(a, c), min(b, d)) for s, a, b in own for c, d in both if a < d and c < b)
+
+
+def test_maps_of_many_groups_are_made_in_batches(spark):
+    from lorekeep.operators import scoring
+
+    rows = [(k, 100 + k, ["a", "b"], ["x"]) for k in range(40)] + [(k, 90, ["b"], ["y", "x"]) for k in range(0, 40, 2)]
+    events = spark.createDataFrame(rows, "source long, ms long, ref array<string>, hyp array<string>")
+    maps = scoring.maps_of(events, ["source"], {"source": "long"})
+    assert "InPandas" not in maps._jdf.queryExecution().executedPlan().toString()
+    want = {(k, h, r) for k in range(40) for h, r in al.speaker_map({("x", "a"): 100 + k, ("x", "b"): 100 + k + (0 if k % 2 else 90)} | ({} if k % 2 else {("y", "b"): 90})).items() if r}
+    assert {tuple(r) for r in maps.collect()} == want
