@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm.common import bounded, read
-from lorekeep.llm.tokens import default_tokenizer, encoder
+from lorekeep.llm.tokens import PIECES, default_tokenizer, encoder
 
 #: Costs in ids of padding: a cut at a sentence, a cut inside one, and each window.
 SENTENCE, INSIDE, WINDOW_COST = 4, 16, 96
@@ -110,9 +110,13 @@ def _candidates(docs: list[tuple], ends: np.ndarray, window: int) -> tuple[np.nd
 NAMES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-def _packer(tokenizer: str, window: int, end_id: int, with_ids: bool):
+#: Remembered pieces of a worker that forgets them after each task.
+FEW_PIECES = 50_000
+
+
+def _packer(tokenizer: str, window: int, end_id: int, with_ids: bool, forget: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, ends = encoder(tokenizer), _sentence_ends(tokenizer)
+        enc, ends = encoder(tokenizer, FEW_PIECES if forget else PIECES), _sentence_ends(tokenizer)
         last = np.array([end_id], enc.dtype).tobytes()
         sequence = TaskContext.get().partitionId() << 32
         held: list[tuple] = []
@@ -157,20 +161,28 @@ def _packer(tokenizer: str, window: int, end_id: int, with_ids: bool):
         if held:
             yield solve(True)
 
-    return run
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            encoder.cache_clear()
+            _sentence_ends.cache_clear()
+
+    return alone if forget else run
 
 
-def pack(docs: DataFrame, window: int = 1024, end_id: int = 0, tokenizer: str | None = None, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, window: int = 1024, end_id: int = 0, tokenizer: str | None = None, with_ids: bool = True, forget: bool = False) -> DataFrame:
     """One row for each piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
     ids are little-endian unsigned 32-bit. The order kept is that of the rows in each partition, which is not changed;
     the last window of a partition may be short. Sequence ids hold the partition's number in the upper half. Null text is
     empty: the document is its end id alone. A null doc_id stays null, repeated rows are packed each, an empty table
-    gives an empty result, and columns other than doc_id and text are not read.
+    gives an empty result, and columns other than doc_id and text are not read. With `forget` a worker remembers few pieces
+    and drops them and the tokenizer after each task: for jobs in which packing is one stage and workers live on.
     """
     schema = ", ".join(f"{n} long" for n in NAMES) + (", ids binary" if with_ids else "")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(bounded(_packer(tokenizer or default_tokenizer(), window, end_id, with_ids), 1), schema)
+    return rows.mapInArrow(bounded(_packer(tokenizer or default_tokenizer(), window, end_id, with_ids, forget), 1), schema)
 
 
 def op1_packing(spark, sf_dir: str) -> DataFrame:

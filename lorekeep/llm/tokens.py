@@ -53,10 +53,10 @@ def _byte_signs() -> dict[int, str]:
 
 
 class _Pieces(dict):
-    """ids of pieces, encoded where they are missing; those that come again are kept, PIECES at most."""
+    """ids of pieces, encoded where they are missing; those that come again are kept, `most` at most."""
 
-    def __init__(self, tokenizer, code: str):
-        self.tokenizer, self.code, self.signs = tokenizer, code, _byte_signs()
+    def __init__(self, tokenizer, code: str, most: int):
+        self.tokenizer, self.code, self.signs, self.most = tokenizer, code, _byte_signs(), most
         self.word = tokenizer.model.tokenize
         self.seen, self.marks, self.odd = bytearray(SEEN), 0, False
 
@@ -85,7 +85,7 @@ class _Pieces(dict):
             self.marks += 1
             if self.marks > SEEN // 3:
                 self.seen, self.marks = bytearray(SEEN), 0
-        elif len(self) < PIECES and len(p) <= LONGEST:
+        elif len(self) < self.most and len(p) <= LONGEST:
             self[p] = out
         return out
 
@@ -94,10 +94,10 @@ class Encoder:
     """ids(texts): the ids of each text as little-endian bytes of self.dtype, as tokenizers gives them.
 
     Words go to the tokenizer's model without the search for pre-tokens, which they are by themselves; all else goes
-    through the whole tokenizer. Memory is bounded by PIECES, of at most LONGEST characters each.
+    through the whole tokenizer. Memory is bounded by `pieces`, of at most LONGEST characters each.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: int = PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -108,7 +108,7 @@ class Encoder:
         kind = json.loads(self.tokenizer.to_str())
         pre = kind["pre_tokenizer"] or {}
         self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"] and not kind["normalizer"] and kind["model"]["type"] == "BPE"
-        self.known = _Pieces(self.tokenizer, "I" if wide else "H")
+        self.known = _Pieces(self.tokenizer, "I" if wide else "H", pieces)
 
     def _text(self, t: str) -> bytes:
         known = self.known
@@ -131,8 +131,8 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, pieces: int = PIECES) -> Encoder:
+    return Encoder(path, pieces)
 
 
 def default_tokenizer() -> str:

@@ -78,3 +78,19 @@ def test_run_and_odd_rows(spark, sf):
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} <= {None, 1, 3, 9}
     for _, stage in STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_packing_leaves_no_tokenizer_behind():
+    """Workers live on into other stages: after a task they hold neither the tokenizer nor its pieces."""
+    from unittest import mock
+
+    import pyarrow as pa
+    from lorekeep.llm import packing, tokens
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["one two one two.", None])], names=["doc_id", "text"])
+    with mock.patch.object(packing, "TaskContext") as task:
+        task.get.return_value.partitionId.return_value = 0
+        tokens.encoder.cache_clear()
+        path = tokens.default_tokenizer()
+        kept, gone = ([b.to_pydict() for b in packing._packer(path, 1024, 0, True, *more)(iter([batch]))] for more in ((), (True,)))
+    assert kept == gone and tokens.encoder.cache_info().currsize == 0 == packing._sentence_ends.cache_info().currsize
