@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.work import files_state, new_path
 
-#: Folders of an index by hash of the token; parts of a folder by hash of the document, so a frequent token is many files.
-BUCKETS, SPREAD = 64, 8
+#: Folders of an index by hash of the token; a frequent token is a run in the file of each task that read documents.
+BUCKETS = 64
 
 K1, B = 1.2, 0.75
 MOST_CHARS, MOST_TERMS, SNIPPET = 256, 20, 28
@@ -79,8 +79,8 @@ def _sizes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def build_index(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text") -> None:
     """Write the index of docs: postings in folders by bucket, sorted by token, and the documents' lengths."""
     rows = tokens(docs, doc_id, text).select("*", _bucket())
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "token", "doc_id", "pos")
+    # each task writes what it has read: a bucket's folder holds a sorted run of each, and postings are never shuffled
+    rows = rows.sortWithinPartitions("bucket", "token", "doc_id", "pos")
     _sizes(docs, doc_id, text).write.parquet(f"{folder}/sizes")
     rows.write.partitionBy("bucket").parquet(f"{folder}/postings")
 
