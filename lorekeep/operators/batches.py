@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lorekeep.functions.work import materialize
 
@@ -31,66 +32,68 @@ def _placed(rows: DataFrame, by: str, order: Sequence[str], size: str, cap: int)
     return joined.select("c.g", *[f"c.{o}" for o in order], (F.col("p.n") + F.col("c.i")).alias("seq"), (end - F.col("c.bytes")).alias("start"), end.alias("end"))
 
 
-def _with_next(placed: DataFrame, cap: int) -> DataFrame:
-    """placed with next: the first row that a batch begun at this row can't hold; null if it holds the stream's rest.
+def _spread(placed: DataFrame, length: int, cap: int) -> DataFrame:
+    """placed, each row in its block (begin: where that begins), and those that begin within a cap after it once more in the block before.
 
-    It is the first whose end is beyond start + cap. Ends are at most a cap apart, so it lies among the ends of the same
-    cap's worth of bytes, or is the first of the following one.
+    So a block has each row at which a batch begun in it may end: a start is at most a cap beyond the block then.
     """
-    cell = lambda c: F.floor(F.col(c) / cap).cast("long").alias("cell")
-    points = placed.select("g", F.col("end").alias("at"), F.lit(0).alias("asks"), "seq")
-    asks = placed.select("g", (F.col("start") + cap).alias("at"), F.lit(1).alias("asks"), "seq")
-    down = Window.partitionBy("g", "cell").orderBy(F.desc("at"), F.desc("asks")).rowsBetween(Window.unboundedPreceding, 0)
-    both = points.unionByName(asks).withColumn("cell", cell("at"))
-    seen = both.withColumn("near", F.last(F.when(F.col("asks") == 0, F.col("seq")), ignorenulls=True).over(down)).where("asks = 1")
-    firsts = placed.groupBy("g", cell("end")).agg(F.min("seq").alias("far"))
-    found = seen.alias("s").join(firsts.alias("f"), F.col("s.g").eqNullSafe(F.col("f.g")) & (F.col("s.cell") + 1 == F.col("f.cell")), "left")
-    found = found.select("s.g", "s.seq", F.coalesce("s.near", "f.far").alias("next"))
-    return placed.alias("p").join(found.alias("n"), F.col("p.g").eqNullSafe(F.col("n.g")) & (F.col("p.seq") == F.col("n.seq"))).select("p.*", "n.next")
-
-
-def _exits(block_bytes: int, cap: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """For each row at which a batch may be the first to begin in the block, where the first batch beyond it begins."""
-        rows = rows.sort_values("seq")
-        seq, following = rows["seq"].to_numpy(), rows["next"].to_numpy(float)
-        exits = following.copy()
-        for i in range(len(seq) - 1, -1, -1):
-            if following[i] <= seq[-1]:
-                exits[i] = exits[int(following[i]) - seq[0]]
-        entry = rows["start"].to_numpy() < rows["block"].iat[0] * block_bytes + cap
-        out = rows.loc[entry, ["g", "block", "seq"]].rename(columns={"seq": "entry"})
-        return out.assign(leaves=pd.array(exits[entry], dtype="Int64"))
+    block = F.floor(F.col("start") / length).cast("long")
+    both = F.when((block > 0) & (F.col("start") < block * length + cap), F.array(block, block - 1)).otherwise(F.array(block))
+    return placed.withColumn("block", F.explode(both)).withColumn("begin", F.col("block") * length)
+
+
+def _sorted(rows: pa.Table, length: int, cap: int) -> tuple[pa.Table, int, list[int]]:
+    """A block's rows by seq, how many are its own, and for each of these the first row that a batch begun at it can't hold."""
+    rows = rows.take(np.argsort(rows["seq"].to_numpy()))
+    start = rows["start"].to_numpy()
+    own = int(np.searchsorted(start, rows["begin"][0].as_py() + length))
+    return rows, own, np.searchsorted(rows["end"].to_numpy(), start[:own] + cap, side="right").tolist()
+
+
+def _exits(length: int, cap: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """For each row at which a batch may be the first to begin in the block, where the first batch beyond it begins; null beyond the stream."""
+        rows, own, exits = _sorted(rows, length, cap)
+        for i in range(own - 1, -1, -1):
+            if exits[i] < own:
+                exits[i] = exits[exits[i]]
+        entries = int(np.searchsorted(rows["start"].to_numpy()[:own], rows["begin"][0].as_py() + cap))
+        seq = rows["seq"].to_pylist()
+        leaves = pa.array([seq[i] if i < len(seq) else None for i in exits[:entries]], pa.int64())
+        return rows.select(["g", "block", "seq"]).slice(0, entries).rename_columns(["g", "block", "entry"]).append_column("leaves", leaves)
 
     return run
 
 
-def _walk(rows: pd.DataFrame) -> pd.DataFrame:
-    """local: the number of batches that have begun in the block, up to each row, from the block's real entry on."""
-    rows = rows.sort_values("seq")
-    seq, following = rows["seq"].to_numpy(), rows["next"].to_numpy(float)
-    begins, at = np.zeros(len(seq), np.int64), float(rows["entry"].iat[0])
-    while at <= seq[-1]:  # null, at the end of the stream, is not
-        i = int(at) - seq[0]
-        begins[i], at = 1, following[i]
-    return rows[["g", "block", "seq"]].assign(local=np.cumsum(begins))
+def _walk(length: int, cap: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """local: the number of batches that have begun in the block, up to each row, from the block's real entry on, if it has one."""
+        rows, own, following = _sorted(rows, length, cap)
+        entry = rows["entry"][0].as_py()
+        begins, at = np.zeros(own, np.int64), own if entry is None else entry - rows["seq"][0].as_py()
+        while at < own:
+            begins[at], at = 1, following[at]
+        return rows.slice(0, own).drop_columns(["seq", "start", "end", "begin", "entry"]).append_column("local", pa.array(np.cumsum(begins)))
+
+    return run
 
 
 def pack_batches(rows: DataFrame, by: str, order: Sequence[str], size: str, cap: int, span: int = SPAN) -> DataFrame:
     """(by, order, batch): rows of each stream in batches from 0, in order, each as long as its bytes don't exceed cap.
 
-    That is the sequential rule, without one task for a stream: every row knows at which row a batch begun at it would end;
-    a block of span caps turns that into a map from the rows at which it may be entered to those of the next block; the
-    maps are chained by doubling; then each block is walked from its real entry. order must be unique within a stream; a
+    That is the sequential rule, without one task for a stream: a block of span caps, with the rows of a cap after it, tells
+    at which row a batch begun at any of its rows ends; that gives a map from the rows at which it may be entered to those
+    of the next block; the maps are chained by doubling; then each block is walked from its real entry. order must be unique within a stream; a
     null stream is one. Sizes that are null, below 1 or above cap raise. Rows of one order within a stream would be numbered in any order.
     """
     if span < 2:
         raise ValueError("a block has two caps at least, so that no batch spans one")
     key = dict(rows.dtypes)[by]
     placed = materialize(_placed(rows, by, order, size, cap), "batch-placed")
-    block = F.floor(F.col("start") / (cap * span)).cast("long").alias("block")
-    linked = materialize(_with_next(placed.select("g", "seq", "start", "end"), cap).select("g", "seq", "start", "next", block), "batch-links")
-    jumps = materialize(linked.groupBy("g", "block").applyInPandas(_exits(cap * span, cap), f"g {key}, block long, entry long, leaves long"), "batch-exits")
+    length = cap * span
+    blocks = _spread(placed, length, cap)
+    ends = blocks.select("g", "seq", "start", "end", "block", "begin").groupBy("g", "block")
+    jumps = materialize(ends.applyInArrow(_exits(length, cap), f"g {key}, block long, entry long, leaves long"), "batch-exits")
     reached, known = jumps.where("entry = 1").select("g", "block", "entry"), -1
     entries = jumps.select("g", "block", "entry")
     same = lambda a, b: F.col(f"{a}.g").eqNullSafe(F.col(f"{b}.g"))
@@ -102,10 +105,10 @@ def pack_batches(rows: DataFrame, by: str, order: Sequence[str], size: str, cap:
         reached = materialize(reached.unionByName(more).distinct(), "batch-reached")
         twice = jumps.alias("a").join(jumps.alias("b"), same("a", "b") & (F.col("a.leaves") == F.col("b.entry")))
         jumps = materialize(twice.select("a.g", "a.entry", "b.leaves"), "batch-jumps")
-    real = linked.alias("l").join(reached.alias("r"), same("l", "r") & (F.col("l.block") == F.col("r.block"))).select("l.g", "l.block", "l.seq", "l.next", "r.entry")
-    walked = materialize(real.groupBy("g", "block").applyInPandas(_walk, f"g {key}, block long, seq long, local long"), "batch-walked")
+    real = blocks.alias("l").join(reached.alias("r"), same("l", "r") & (F.col("l.block") == F.col("r.block")), "left").select("l.*", "r.entry")
+    columns = StructType([f for f in placed.schema if f.name not in ("seq", "start", "end")]).add("block", "long").add("local", "long")
+    walked = materialize(real.groupBy("g", "block").applyInArrow(_walk(length, cap), columns), "batch-walked")
     begun = Window.partitionBy("g").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = walked.groupBy("g", "block").agg(F.max("local").alias("m")).select("g", "block", F.coalesce(F.sum("m").over(begun), F.lit(0)).alias("before"))
-    numbered = walked.alias("w").join(offsets.alias("o"), same("w", "o") & (F.col("w.block") == F.col("o.block"))).select("w.g", "w.seq", (F.col("o.before") + F.col("w.local") - 1).alias("batch"))
-    found = placed.alias("p").join(numbered.alias("n"), same("p", "n") & (F.col("p.seq") == F.col("n.seq")))
-    return found.select(F.col("p.g").alias(by), *[f"p.{o}" for o in order], "n.batch")
+    found = walked.alias("w").join(offsets.alias("o"), same("w", "o") & (F.col("w.block") == F.col("o.block")))
+    return found.select(F.col("w.g").alias(by), *[f"w.{o}" for o in order], (F.col("o.before") + F.col("w.local") - 1).alias("batch"))

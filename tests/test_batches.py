@@ -33,6 +33,12 @@ def test_sequential_rule(spark):
             batches.pack_batches(df.limit(5).withColumn("bytes", F.lit(bad).cast("int")), "stream", ["at"], "bytes", 97)
 
 
+def test_stream_that_ends_in_a_batch_of_the_block_before(spark):
+    df = spark.createDataFrame([("a", i, s) for i, s in enumerate([10, 9, 2, 1])], "stream string, at int, bytes int")
+    got = batches.pack_batches(df, "stream", ["at"], "bytes", 10, span=2).orderBy("at").collect()
+    assert [(r.at, r.batch) for r in got] == [(0, 0), (1, 1), (2, 2), (3, 2)]
+
+
 def test_one_stream_of_a_million(spark):
     df = spark.range(1_000_000).select(F.lit(1).alias("stream"), F.col("id").alias("at"), (F.pmod(F.xxhash64("id"), F.lit(90_000)) + 1).alias("bytes"))
     got = batches.pack_batches(df, "stream", ["at"], "bytes", 1_000_000).orderBy("at").toPandas()["batch"].tolist()
