@@ -94,3 +94,17 @@ def test_packing_leaves_no_tokenizer_behind():
         path = tokens.default_tokenizer()
         kept, gone = ([b.to_pydict() for b in packing._packer(path, 1024, 0, True, *more)(iter([batch]))] for more in ((), (True,)))
     assert kept == gone and tokens.encoder.cache_info().currsize == 0 == packing._sentence_ends.cache_info().currsize
+
+
+def test_batches_that_go_to_python_are_short(spark):
+    import pyarrow as pa
+
+    before = spark.conf.get(corpus_pipeline._BATCH)
+    try:
+        spark.conf.set(corpus_pipeline._BATCH, 10_000)
+        docs = spark.createDataFrame([(1, "a b c", "s", "en")], "doc_id long, text string, source string, lang string")
+        assert corpus_pipeline.packing(spark, docs, "").count() == 1
+        rows = spark.range(0, 2_500, 1, 1).mapInArrow(lambda it: (b.slice(0, 1).set_column(0, "id", pa.array([b.num_rows])) for b in it), "id long")
+        assert [r.id for r in rows.collect()] == [1_000, 1_000, 500]
+    finally:
+        spark.conf.set(corpus_pipeline._BATCH, before)
