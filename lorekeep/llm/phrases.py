@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import bounded, materialize, read, small
+from lorekeep.llm.common import bounded, materialize, read, release, small
 
 #: Words of a shard: SHARD at least, unless its task has fewer, and under twice as many. BITS (a power of two) of the filter.
 SHARD, BITS = 1 << 23, 1 << 27
@@ -63,7 +63,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _word_hashes(words: pa.Array) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
+    parts = (words.slice(i, 1 << 16).to_pylist() for i in range(0, len(words), 1 << 16))
+    return np.fromiter((xxhash.xxh64_intdigest(w) for part in parts for w in part), np.uint64, len(words))
 
 
 def _first_hash(lang: str, words: np.ndarray) -> np.ndarray:
@@ -80,41 +81,83 @@ def _probes(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
         yield ((h + np.uint64(i) * step) & np.uint64(bits - 1)).astype(np.int64)
 
 
+def _runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of codes in which equal ones are neighbours, where each run begins in it, and how long it is."""
+    order = np.argsort(codes)
+    codes = codes[order]
+    begin = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    return order, begin, np.diff(np.append(begin, len(codes)))
+
+
+def _shares(ids: np.ndarray, first: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, int]:
+    """For each place the part that counts the phrase of n words there, -1 where there is none to count; and the parts."""
+    share = np.full(len(at), -1, np.int16)
+    ends = range(PART, len(at) + PART, PART)
+    fits = lambda i, j: (at[i:j] >= 0) & (at[i + 1 : j + 1] >= 0) & ~first[i + 1 : j + 1]
+    spans = [(j - PART, min(j, len(at) - n + 1)) for j in ends if j - PART < len(at) - n + 1]
+    parts = -(-sum(int(np.count_nonzero(fits(i, j))) for i, j in spans) // PART)
+    for i, j in spans if parts else ():
+        dealt = (at[i:j].astype(np.int64) + ids[i + n - 1 : j + n - 1].astype(np.int64) * 7) % parts
+        share[i:j] = np.where(fits(i, j), dealt, -1)
+    return share, parts
+
+
 def grow(ids: np.ndarray, first: np.ndarray, vocabulary: pa.Array, lang: str, keep: Callable, most: int) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """(words, phrases, counts) level by level: all phrases that keep(hashes, counts) takes. A phrase is looked at only if
-    both that it leaves without its first and without its last word were taken."""
+    """(words, phrases, counts), shorter phrases first: all that keep(hashes, counts) takes. A phrase is looked at only if
+    both that it leaves without its first and without its last word were taken.
+
+    A phrase taken is known by one of its places, from which its words and hash are read when they are needed: besides
+    ids and first, six bytes for each place are held, and what sorting PART places takes, however many phrases there are.
+    """
     size, hashes = len(vocabulary), _word_hashes(vocabulary)
-    counts = np.bincount(ids, minlength=size)
-    level = _first_hash(lang, hashes)
-    kept = np.flatnonzero(keep(level, counts))
-    place = np.full(size, -1, np.int32)
-    place[kept] = np.arange(len(kept), dtype=np.int32)
-    level, at = level[kept], place[ids]
-    names = vocabulary.take(pa.array(kept))
-    yield 1, names, counts[kept]
+    counts = sum(np.bincount(ids[i : i + PART], minlength=size) for i in range(0, len(ids), PART))
+    taken = keep(_first_hash(lang, hashes), counts)
+    kept = np.flatnonzero(taken)
+    yield 1, vocabulary.take(pa.array(kept)), counts[kept]
+    at = np.where(taken, np.arange(size, dtype=np.int32), np.int32(-1))[ids]
     for n in range(2, most + 1):
-        start = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0) & ~first[1:]).astype(np.int32)
-        parts = -(-len(start) // PART)
-        share = ((at[start] + ids[start + n - 1].astype(np.int64) * 7) % max(parts, 1)).astype(np.int16)
-        here, found = np.full(len(at), -1, np.int32), [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
-        taken = 0
-        for p in range(parts):  # equal phrases are in one part, so only a part's codes are sorted at a time
-            own = start[share == p]
-            codes, back, counts = np.unique(at[own].astype(np.int64) * size + ids[own + n - 1], return_inverse=True, return_counts=True)
-            before, last = codes // size, codes % size
-            new = _next_hash(level[before], hashes[last])
-            kept = np.flatnonzero(keep(new, counts))
-            place = np.full(len(codes), -1, np.int32)
-            place[kept] = np.arange(taken, taken + len(kept), dtype=np.int32)
-            here[own] = place[back]
-            taken += len(kept)
-            found.append((new[kept], before[kept], last[kept], counts[kept]))
-        if not taken:
+        share, parts = _shares(ids, first, at, n)
+        if not parts:
             return
-        level, before, last, counts = (np.concatenate(x) for x in zip(*found, strict=True))
-        names = pc.binary_join_element_wise(names.take(pa.array(before)), vocabulary.take(pa.array(last)), " ")
-        at = here
-        yield n, names, counts
+        for i in range(0, len(at), PART):
+            at[i : i + PART][share[i : i + PART] < 0] = -1
+
+        def codes(own: np.ndarray, n: int = n) -> np.ndarray:
+            return at[own].astype(np.int64) * size + ids[own + (n - 1)]
+
+        def taken_of(place: np.ndarray, counts: np.ndarray, n: int = n) -> np.ndarray:
+            h = _first_hash(lang, hashes[ids[place]])
+            for k in range(1, n):
+                h = _next_hash(h, hashes[ids[place + k]])
+            return keep(h, counts)
+
+        for p in range(parts):  # equal phrases are in one part
+            own = np.concatenate([(np.flatnonzero(share[i : i + PART] == p) + i).astype(np.int32) for i in range(0, len(at), PART)])
+            if not len(own):
+                continue
+            if len(own) <= 2 * PART:
+                order, begin, counts = _runs(codes(own))
+                own = own[order]
+                place = own[begin]
+                kept = taken_of(place, counts)
+                at[own] = np.repeat(np.where(kept, place, np.int32(-1)), counts)
+            else:  # a frequent phrase fills it: what each stretch counted is added up
+                found = []
+                for i in range(0, len(own), PART):
+                    order, begin, counts = _runs(codes(own[i : i + PART]))
+                    found.append((own[i : i + PART][order[begin]], counts))
+                place, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+                order, begin, _ = _runs(codes(place))
+                place, counts = place[order[begin]], np.add.reduceat(counts[order], begin)
+                kept, known = taken_of(place, counts), codes(place)
+                names = np.where(kept, place, np.int32(-1))
+                for i in range(0, len(own), PART):
+                    part = own[i : i + PART]
+                    at[part] = names[np.searchsorted(known, codes(part))]
+            place, counts = place[kept], counts[kept]
+            for i in range(0, len(place), 1 << 16):
+                said = [vocabulary.take(pa.array(ids[place[i : i + (1 << 16)] + k])) for k in range(n)]
+                yield n, pc.binary_join_element_wise(*said, " "), counts[i : i + (1 << 16)]
 
 
 def _shards(batches: Iterator[pa.RecordBatch], shard: int) -> Iterator[tuple[str, int, np.ndarray, np.ndarray, pa.Array]]:
@@ -123,9 +166,17 @@ def _shards(batches: Iterator[pa.RecordBatch], shard: int) -> Iterator[tuple[str
     totals: dict[str, int] = {}
 
     def whole(lang: str, parts: list) -> tuple:
-        words = pa.chunked_array([w for w, _ in parts]).unify_dictionaries()
-        ids = np.concatenate([c.indices.to_numpy() for c in words.chunks])
-        return lang, totals[lang], ids, np.concatenate([f for _, f in parts]), words.chunk(0).dictionary
+        known = pa.chunked_array([w.dictionary for w, _ in parts]).dictionary_encode()
+        first = np.concatenate([f for _, f in parts])
+        ids, end = np.empty(len(first), np.int32), len(first)
+        for known_part in reversed(known.chunks):  # a part is let go once its words are renamed
+            own = parts.pop()[0].indices.to_numpy()
+            ids[end - len(own) : end] = known_part.indices.to_numpy()[own]
+            end -= len(own)
+        vocabulary = known.chunk(0).dictionary
+        del known, known_part, own
+        release()
+        return lang, totals[lang], ids, first, vocabulary
 
     for b in batches:
         langs = b.column(1)
@@ -140,10 +191,10 @@ def _shards(batches: Iterator[pa.RecordBatch], shard: int) -> Iterator[tuple[str
             lang = max(held, key=lambda k: sum(len(f) for _, f in held[k]))
             sizes = np.cumsum([len(f) for _, f in held[lang]])
             cut = min(int(np.searchsorted(sizes, shard)) + 1, len(sizes))
-            yield whole(lang, held[lang][:cut])
-            held[lang] = held[lang][cut:]
+            parts, held[lang] = held[lang][:cut], held[lang][cut:]
             if not held[lang]:
                 del held[lang]
+            yield whole(lang, parts)
     for lang in list(held):
         yield whole(lang, held.pop(lang))
 
@@ -163,6 +214,7 @@ def _mine(support: int, most: int, shard: int):
         for lang, total, ids, first, vocabulary in _shards(batches, shard):
             local = max(1, -(-support * len(ids) // total))
             yield from _rows(lang, grow(ids, first, vocabulary, lang, lambda _, counts, least=local: counts >= least, most))
+            del ids, first, vocabulary
 
     return run
 
@@ -179,6 +231,7 @@ def _count(bitmap, bits: int, most: int, shard: int):
 
         for lang, _, ids, first, vocabulary in _shards(batches, shard):
             yield from _rows(lang, grow(ids, first, vocabulary, lang, known, most))
+            del ids, first, vocabulary
 
     return run
 

@@ -2,13 +2,15 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from lorekeep.llm.phrases import _first_hash, _next_hash, _word_hashes, collocations, phrase_counts, split_words
+from lorekeep.llm import phrases
+from lorekeep.llm.phrases import _first_hash, _next_hash, _word_hashes, collocations, grow, phrase_counts, split_words
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -96,3 +98,34 @@ def test_words_and_hashes():
 def test_single_words_count_too(spark):
     docs = spark.createDataFrame([(1, "a b a", "en")], SCHEMA)
     assert {(r.phrase, r.a, r.n) for r in phrase_counts(docs, support=2).collect()} == {("a", 2, 3)}
+
+
+def test_a_shard_holds_a_few_bytes_a_place(monkeypatch):
+    """However many phrases are taken: at times of 16 million words, every array of a shard's length weighs."""
+    monkeypatch.setattr(phrases, "PART", 1 << 13)
+    rng = np.random.default_rng(1)
+    ids, first = rng.integers(0, 5_000, 1 << 18).astype(np.int32), np.zeros(1 << 18, bool)
+    names = pa.array([f"w{i}" for i in range(5_000)])
+    tracemalloc.start()
+    try:
+        taken = sum(len(found) for _, found, _ in grow(ids, first, names, "en", lambda h, _: np.ones(len(h), bool), 5))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert taken > 3 * len(ids) and most < 24 * len(ids)
+
+
+@pytest.mark.parametrize("part", [3, 16, 1 << 20])
+def test_a_frequent_phrase_may_fill_a_part(monkeypatch, part):
+    monkeypatch.setattr(phrases, "PART", part)
+    rng = np.random.default_rng(part)
+    ids = np.where(rng.random(600) < 0.8, np.arange(600) % 2, rng.integers(0, 6, 600)).astype(np.int32)
+    first = rng.random(600) < 0.05
+    first[0] = True
+    want = Counter()
+    for i in range(600):
+        for n in range(1, 6):
+            if i + n <= 600 and not first[i + 1 : i + n].any():
+                want[" ".join("abcdef"[k] for k in ids[i : i + n])] += 1
+    got = [x for _, said, n in grow(ids, first, pa.array(list("abcdef")), "en", lambda _, n: n >= 4, 5) for x in zip(said.to_pylist(), n.tolist(), strict=True)]
+    assert sorted(got) == sorted((p, n) for p, n in want.items() if n >= 4)
