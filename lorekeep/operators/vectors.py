@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -49,12 +49,14 @@ class Cells:
     """An index of unit vectors in files: rows filed under the nearest of some centres, and each cell's radius.
 
     rows(row_id, row_group, row_vector, tile, cell) lie in folders by cell; centres, radii and tiles hold one entry a cell.
+    Scores are rounded to so many digits, once, where they are made.
     """
 
     rows: DataFrame
     centres: np.ndarray
     radii: np.ndarray
     tiles: np.ndarray
+    digits: int = 9
 
 
 def _matrix(column) -> np.ndarray:
@@ -138,7 +140,7 @@ def _bounds(shape):
     return run
 
 
-def _best(k: int):
+def _best(k: int, digits: int):
     """The k best rows of a tile for each query of a block: one matrix product."""
 
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
@@ -148,7 +150,7 @@ def _best(k: int):
         asked, groups = queries["query_id"].to_numpy(), queries["query_group"].to_pandas().to_numpy(float, na_value=np.nan)
         order = np.argsort(rows["row_id"].to_numpy(), kind="stable")
         ids, own = rows["row_id"].to_numpy()[order], rows["row_group"].to_numpy()[order]
-        scores = np.round(_matrix(queries["query_vector"]) @ _matrix(rows["row_vector"])[order].T, 9)
+        scores = np.round(_matrix(queries["query_vector"]) @ _matrix(rows["row_vector"])[order].T, digits)
         scores[groups[:, None] == own[None, :]] = -np.inf
         if len(ids) > k:  # whatever reaches the k-th score, ties included; the exact order is made of those alone
             least = np.partition(scores, -k, axis=1)[:, -k]
@@ -177,7 +179,7 @@ def _scan(index: Cells, visits: DataFrame, k: int) -> DataFrame:
     r = index.rows.where(F.col("cell").isin(list(asked))).join(F.broadcast(plan), "cell")
     r = r.select("row_id", "row_group", "row_vector", "cell", "tile", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
     by = ["cell", "tile", "block"]
-    return q.groupBy(*by).cogroup(r.groupBy(*by)).applyInArrow(_best(k), "query_id long, row_id long, score double")
+    return q.groupBy(*by).cogroup(r.groupBy(*by)).applyInArrow(_best(k, index.digits), "query_id long, row_id long, score double")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -185,14 +187,15 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def nearest_in(index: Cells, queries: DataFrame, k: int) -> DataFrame:
+def nearest_in(index: Cells, queries: DataFrame, k: int, digits: int = 9) -> DataFrame:
     """(query_id, row_id, score, rank): the k rows of the highest cosine for each query, but of other groups; exact.
 
     queries(query_id, query_group, query_vector) hold unit vectors and distinct integer ids; one with a null vector finds
     nothing, one with a null group may find every row. The cells nearest to a query are read first; their k-th score then
-    rules out each cell whose bound is lower, and what is left is read. Equal scores (of nine digits) go by row_id.
+    rules out each cell whose bound is lower, and what is left is read. Equal scores (of so many digits) go by row_id.
     """
-    spark = queries.sparkSession
+    spark, index = queries.sparkSession, replace(index, digits=digits)
+    slack = SLACK + 0.5 * 10.0**-digits  # a lower score may be rounded up to the k-th
     stated = queries.where("query_vector IS NOT NULL").select(F.col("query_id").cast("long"), F.col("query_group").cast("long"), F.col("query_vector").cast("array<double>"))
     held = np.flatnonzero(index.tiles > 0)
     if not len(held):
@@ -207,7 +210,7 @@ def nearest_in(index: Cells, queries: DataFrame, k: int) -> DataFrame:
     least = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
     cells = F.array(*[F.lit(int(c)) for c in held])
     left = bounded.join(least, "query_id", "left").withColumn("b", F.explode(F.arrays_zip(cells.alias("cell"), F.col("bounds").alias("bound"))))
-    left = left.where(~F.array_contains("home", F.col("b.cell")) & (F.col("least").isNull() | (F.col("b.bound") >= F.col("least") - SLACK)))
+    left = left.where(~F.array_contains("home", F.col("b.cell")) & (F.col("least").isNull() | (F.col("b.bound") >= F.col("least") - slack)))
     rest = _scan(index, materialize(left.select("query_id", "query_group", "query_vector", F.col("b.cell").alias("cell")), "cells-visits"), k)
     return _ranked(first.select("query_id", "row_id", "score").unionByName(rest), k).select("query_id", "row_id", "score", "rank")
 

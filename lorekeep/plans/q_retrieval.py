@@ -127,8 +127,8 @@ def e4_knn(spark, sf_dir):
     rows = source.select("vec_id", (F.col("vec_id") % 20).alias("episode"), vectors.l2_normalize("embedding").alias("v"))
     queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("episode").alias("query_group"), F.col("v").alias("query_vector"))
     index = vectors.kept_cells("episodes", source, rows.select(F.col("vec_id").alias("row_id"), F.col("episode").alias("row_group"), F.col("v").alias("row_vector")))
-    found = vectors.nearest_in(index, queries, 10)
-    return found.select("query_id", "row_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    found = vectors.nearest_in(index, queries, 10, digits=6)
+    return found.select("query_id", "row_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("e8_candidates")
