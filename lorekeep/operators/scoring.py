@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import normalize, tokens
@@ -20,9 +20,22 @@ from lorekeep.operators.aggregates import verdict
 UNASSIGNED = "__unassigned__"
 
 
+def with_tokens(words: DataFrame) -> DataFrame:
+    """words with their normalized text and its tokens, for scores that would each make them."""
+    return words.withColumn("_plain", normalize("text")).withColumn("_tokens", tokens("_plain"))
+
+
+def plain_of(words: DataFrame) -> Column:
+    return F.col("_plain") if "_plain" in words.columns else normalize("text")
+
+
+def tokens_of(words: DataFrame) -> Column:
+    return F.col("_tokens") if "_tokens" in words.columns else tokens(normalize("text"))
+
+
 def token_lists(words: DataFrame, by: list[str]) -> DataFrame:
     """(by, tokens): normalized tokens in order of time; a word may give several."""
-    w = words.select(*by, F.struct("start_ms", "end_ms", "word_id", tokens(normalize("text")).alias("t")).alias("w"))
+    w = words.select(*by, F.struct("start_ms", "end_ms", "word_id", tokens_of(words).alias("t")).alias("w"))
     g = w.groupBy(*by).agg(F.array_sort(F.collect_list("w")).alias("w"))
     return g.select(*by, F.flatten(F.transform("w", lambda x: x["t"])).alias("tokens"))
 

@@ -1,8 +1,12 @@
 """Scores by slice against known answers."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from lorekeep.operators import alignment as al
 from lorekeep.operators import evaluation as ev
 
 
@@ -88,3 +92,44 @@ def test_integrated(spark):
     got = {r.source: (r.cp_errors, r.status) for r in ev.score_integrated(ref, hyp, ok).collect()}
     assert got == {"e": (0, "scored"), "f": (None, "unscorable"), None: (0, "partial")}
     assert F is not None
+
+
+def brute_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(last + (x != y), row[j] + 1, row[j + 1] + 1)
+    return row[-1]
+
+
+def test_errors_of_texts_with_parts_left_out(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(120):
+        ref = [rng.choice(["a", "ab", "ba", "è", "𝄞x"]) for _ in range(rng.randrange(14))]
+        hyp = [w for w in ref if rng.random() < 0.7] if k % 3 else [rng.choice(["a", "ab", "è"]) for _ in range(rng.randrange(14))]
+        rows.append((k, *((hyp, ref) if k % 2 else (ref, hyp))))
+    frame = spark.createDataFrame(rows, "k long, r array<string>, h array<string>")
+    for x in al.with_edit_counts(frame, {"n": ("r", "h")}, {"c": ("r", "h")}).collect():
+        ops = [o for o, _, _ in al.align(x.r, x.h)]
+        assert tuple(x.n) == tuple(ops.count(o) for o in ("substitute", "delete", "insert")) and sum(x.n) == brute_distance(x.r, x.h)
+        assert x.c == brute_distance(" ".join(x.r), " ".join(x.h))
+
+
+def test_character_errors_of_long_texts_are_not_counted_cell_by_cell(spark):
+    rng = random.Random(10)
+    ref = [f"{rng.randrange(10**6)}" for _ in range(20_000)]
+    hyp = [w if i % 9 else w[::-1] for i, w in enumerate(ref)]
+    start = time.perf_counter()
+    r = ev.text_rates(spark.createDataFrame([(ref, hyp, ref, hyp)], "raw_r array<string>, raw_h array<string>, norm_r array<string>, norm_h array<string>")).first()
+    assert 0 < r.cer_errors < r.cer_total and r.cer_total > 130_000 and time.perf_counter() - start < 45  # 2 * 10 ** 10 cells
+
+
+def test_what_scores_of_slices_share_is_made_once(spark, monkeypatch):
+    made = []
+    for f in (al.duration_events, ev.scored_words):
+        monkeypatch.setattr(al if f is al.duration_events else ev, f.__name__, lambda *a, f=f: made.append(f.__name__) or f(*a))
+    w, t, s = words(spark, [("A", "uno", 0, 100)]), turns(spark, [("A", 0, 200)]), spans(spark, [("all", 0, 1_000), ("head", 0, 50)])
+    assert ev.evaluate_slices(w, w, t, t, s, 60_000).where("wer = 0 AND der = 0 AND der_250 IS NULL").count() == 1
+    assert sorted(made) == ["duration_events", "scored_words", "scored_words"]
