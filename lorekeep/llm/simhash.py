@@ -75,8 +75,9 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def first_row() -> Column:
-    """Aggregate: the row (doc_id, text_hash) with the smallest doc_id, of equal ones the smallest hash; null without a doc_id."""
-    return F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash")))
+    """Aggregate: the row (nameless, doc_id, text_hash) with the smallest doc_id, of equal ones the smallest hash; a row
+    without a doc_id, which is nameless, only if there is no other."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash"))
 
 
 def _flipped(fp: Column, b: Column) -> Column:
@@ -114,7 +115,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     component_id is the smallest doc_id of the group, component_hash the smallest text_hash (xxhash64) among its rows.
     Null text counts as empty, and texts without words have fingerprint 0, linked like any other. Repeated rows stay,
-    each with its group's id. A null doc_id never names a group; a group of such rows only has a null id. Rows with one
+    each with its group's id. A null doc_id never names a group; a group of such rows only has a null id, and the hash. Rows with one
     doc_id and different texts are told apart. An empty table gives an empty result. Columns other than doc_id and text
     are not read.
     """
