@@ -2,9 +2,10 @@
 
 Texts stay where they are read: each task cuts what it reads into shards of one language, and mines each shard completely
 at its share of the support. A phrase that reaches the support over all texts reaches that share in at least one shard,
-so the union of what shards find misses none. The candidates are put into a filter of fixed size, and a second pass over
-all texts counts everything that passes it; what passes by chance falls short of the support and goes. Counts are
-summed, scored, thinned and ranked by Spark.
+so the union of what shards find misses none. Shards that didn't find a phrase have fewer of it than their share, which
+bounds how many there can be of it in all: what can't reach the support goes. The candidates are put into a filter of
+fixed size, and a second pass over all texts counts everything that passes it; what passes by chance falls short of the
+support and goes. Counts are summed, scored, thinned and ranked by Spark.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from lorekeep.llm.common import bounded, materialize, read, release, small
 
 #: Words of a shard: SHARD at least, unless its task has fewer, and under twice as many. BITS (a power of two) of the filter.
 SHARD, BITS = 1 << 23, 1 << 27
+#: Shards that a task makes, about, so that a rarer language, too, has some that aren't short.
+DEPTH = 4
 #: Places in a shard that are sorted at a time.
 PART = 1 << 20
 PROBES, MIX = 4, np.uint64(0x9E3779B97F4A7C15)
@@ -210,10 +213,15 @@ def _rows(lang: str, levels: Iterator[tuple[int, pa.Array, np.ndarray]]) -> Iter
 
 
 def _mine(support: int, most: int, shard: int):
+    """What each shard finds, with the count beyond the most that a shard has without finding it; and that most, as a row of
+    no words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, total, ids, first, vocabulary in _shards(batches, shard):
-            local = max(1, -(-support * len(ids) // total))
-            yield from _rows(lang, grow(ids, first, vocabulary, lang, lambda _, counts, least=local: counts >= least, most))
+            unseen = max(1, -(-support * len(ids) // total)) - 1
+            yield from _rows(lang, [(0, pa.array([""]), np.array([unseen]))])
+            found = grow(ids, first, vocabulary, lang, lambda _, counts, less=unseen: counts > less, most)
+            yield from _rows(lang, ((n, names, counts - unseen) for n, names, counts in found))
             del ids, first, vocabulary
 
     return run
@@ -281,10 +289,12 @@ def phrase_counts(docs: DataFrame, support: int = 100, most: int = 5, shard: int
     words = F.regexp_count("text", F.lit(r"[^\x20\x09.,;:!?\x0A-\x0D]+"))
     totals = materialize(rows.groupBy("lang").agg(F.sum(words).cast("long").alias("total")).where("total >= 1"), "phrase-totals")
     all_words = totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
-    tasks = max(spark.sparkContext.defaultParallelism, -(-2 * all_words // (3 * shard)))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-all_words // (DEPTH * shard)))
     rows = rows.join(small(totals), "lang").select("text", "lang", "total").coalesce(int(tasks))
     mined = rows.mapInArrow(bounded(_mine(support, most, shard), 0), FOUND)
-    candidates = materialize(mined.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")), "phrase-candidates")
+    mined = materialize(mined.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")), "phrase-candidates")
+    unseen = small(mined.where("words = 0").select("lang", F.col("n").alias("unseen")))
+    candidates = mined.where("words > 0").join(unseen, "lang").where(F.col("n") + F.col("unseen") >= support)
     bitmap = spark.sparkContext.broadcast(_filter(candidates, bits))
     counted = rows.mapInArrow(bounded(_count(bitmap, bits, most, shard), 0), FOUND)
     whole = counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= support)

@@ -129,3 +129,18 @@ def test_a_frequent_phrase_may_fill_a_part(monkeypatch, part):
                 want[" ".join("abcdef"[k] for k in ids[i : i + n])] += 1
     got = [x for _, said, n in grow(ids, first, pa.array(list("abcdef")), "en", lambda _, n: n >= 4, 5) for x in zip(said.to_pylist(), n.tolist(), strict=True)]
     assert sorted(got) == sorted((p, n) for p, n in want.items() if n >= 4)
+
+
+def test_what_cannot_reach_the_support_is_no_candidate(spark, monkeypatch):
+    """Found in one shard and unseen in the others: the most that these may hold of a phrase is counted."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(4):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(1_000)] + [f"twice{k}", f"so{k}"] * 2 + ["thrice", "more"] * (3 if k < 2 else 0)
+        rows.append((k, ". ".join(" ".join(words[i : i + 2]) for i in range(0, len(words), 2)), "en"))
+    docs = spark.createDataFrame(rows, SCHEMA).repartitionByRange(4, "doc_id")
+    found = {}
+    first = phrases._filter
+    monkeypatch.setattr(phrases, "_filter", lambda candidates, bits: found.update({r.phrase: r.n for r in candidates.collect()}) or first(candidates, bits))
+    got = {(r.phrase, r.a) for r in phrase_counts(docs, support=6).collect()}
+    assert got == {("thrice", 6), ("more", 6), ("thrice more", 6)} and set(found) == {p for p, _ in got}
