@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm.common import bounded, materialize, read, release, small
 
-#: Words of a shard: SHARD at least, unless its task has fewer, and under twice as many. BITS (a power of two) of the filter.
+#: Words of a shard: SHARD at least, unless its task holds fewer of its language, and under twice as many. A task holds half
+#: as many again, and a batch, before it makes one. BITS (a power of two) of the filter.
 SHARD, BITS = 1 << 23, 1 << 27
 #: Shards that a task makes, about, so that a rarer language, too, has some that aren't short.
 DEPTH = 4
@@ -190,7 +191,7 @@ def _shards(batches: Iterator[pa.RecordBatch], shard: int) -> Iterator[tuple[str
                 continue
             totals[lang] = rows.column(2)[0].as_py()
             held.setdefault(lang, []).append(part)
-        while sum(len(f) for parts in held.values() for _, f in parts) >= 2 * shard:
+        while sum(len(f) for parts in held.values() for _, f in parts) >= 3 * shard // 2:
             lang = max(held, key=lambda k: sum(len(f) for _, f in held[k]))
             sizes = np.cumsum([len(f) for _, f in held[lang]])
             cut = min(int(np.searchsorted(sizes, shard)) + 1, len(sizes))
